@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import sharding, url_filter
+from webloom.llm import packing, quality_rules, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 2: quality rules ---
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    judged = quality_rules.with_statistics(docs.select("doc_id", "text")).drop("text")
+    failed, out = quality_rules.base_failed(), quality_rules.rejected(rules)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *[F.col(f"stats.{c}").alias(c) for c in names], failed.alias("base_failed"), (~failed & ~out).alias("kept"))
+
+
 # --- 6: URL filters ---
 
 RULES = [
@@ -43,9 +55,25 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
 
 
+# --- 10: packing ---
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    return rows.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_quality_rules": op2_quality_rules,
     "op6_url_filter": op6_url_filter,
     "op7_sharding": op7_sharding,
+    "op10_packing": op10_packing,
 }
 
 _REST = "substr(url, strpos(url, '://') + 3)"
