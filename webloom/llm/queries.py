@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import packing, quality_rules, sharding, url_filter
+from webloom.llm import packing, quality_rules, secrets, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"stats.{c}").alias(c) for c in names], failed.alias("base_failed"), (~failed & ~out).alias("kept"))
 
 
+# --- 4: secret scans ---
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    n = [F.size(F.filter("base", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return found.select(F.col("id").alias("doc_id"), *n, F.sha2(secrets.printed("base"), 256).alias("base_sha256"), secrets.printed("spans").alias("spans"))
+
+
 # --- 6: URL filters ---
 
 RULES = [
@@ -71,6 +80,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
     "op6_url_filter": op6_url_filter,
     "op7_sharding": op7_sharding,
     "op10_packing": op10_packing,
