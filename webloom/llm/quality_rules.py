@@ -21,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom.llm.common import byte_values, flat, mix, owner_of, prefix, slices, spans_hash, windows_hash, word_spans
 
 SLICE = 6 << 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_upper", "n_digits", "n_lines", "n_stops", "n_distinct")
-STATS_TYPE = "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">"
+STATS_TYPE = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 _SYMBOL, _UPPER, _DIGIT, _STOP = (np.zeros(256, bool) for _ in range(4))
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER[list(range(65, 91))] = True
@@ -99,7 +100,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", name: str = "stats"
                 stats = pa.StructArray.from_arrays([pa.array(found[c].astype(np.int64)) for c in COUNTS], list(COUNTS))
                 yield pa.RecordBatch.from_arrays([*batch.columns, stats], [*batch.schema.names, name])
 
-    return docs.mapInArrow(count, docs.schema.add(name, STATS_TYPE))
+    return docs.mapInArrow(count, T.StructType([*docs.schema.fields, T.StructField(name, STATS_TYPE)]))
 
 
 #: The features of rules: name and SQL over the struct s; zero where there is nothing to divide by.
