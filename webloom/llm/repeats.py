@@ -145,52 +145,57 @@ def _gathered(batches: Iterator[pa.RecordBatch], flush: Callable, take: Callable
 
 
 ANCHORS = "bucket int, kind int, id long, keys array<long>, h binary, d binary, ids binary"
-
-
-def repeated(firsts: DataFrame, shape: Shape) -> DataFrame:
-    """(id, keys): the minimisers of each document that come again."""
-    n = 4 * partitions(firsts.sparkSession)
-
-    def take(batch: pa.RecordBatch):
-        e = Elements.of(batch.column("text"), shape)
-        keys, doc = e.anchors(shape)
-        return keys, batch.column("id").to_numpy()[doc]
-
-    def flush(held) -> Iterator[pa.RecordBatch]:
-        keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        if not shape.anywhere and len(keys):
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
-            keys, ids = keys[new], ids[new]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(first, len(keys)))
-        several = np.repeat(sizes > 1, sizes)
-        lead, own = lists(ids[several], keys[several])
-        own_ids = ids[several][lead]
-        nothing = pa.nulls(len(own_ids), pa.binary())
-        kinds = np.ones(len(own_ids), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array((mix(own_ids.astype(np.uint64)) % np.uint64(n)).astype(np.int32)), pa.array(kinds), pa.array(own_ids), own, nothing, nothing, nothing], ["bucket", "kind", "id", "keys", "h", "d", "ids"])
-        # one entry a minimiser: number of its document in a table, or 0 if it is known to come again
-        keys, single, ids = keys[first], sizes == 1, ids[first]
-        bounds = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
-        rows = []
-        for b in range(n):
-            lo, hi = bounds[b], bounds[b + 1]
-            if lo < hi:
-                known, number = np.unique(ids[lo:hi][single[lo:hi]], return_inverse=True)
-                d = np.zeros(hi - lo, np.int64)
-                d[single[lo:hi]] = number + 1
-                rows.append((b, 0, None, None, pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), pack(d), pack(np.diff(known, prepend=0))))
-        columns = list(zip(*rows, strict=True)) or [[]] * 7
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "kind", "id", "keys", "h", "d", "ids"])
+_ANCHOR_NAMES = [x.split()[0] for x in ANCHORS.split(", ")]
+
+
+def _send(held: list, n: int, distinct_ids: bool, counts: bool) -> Iterator[pa.RecordBatch]:
+    """One batch's (key, id) to ranges of keys: one entry a key; what already comes again here goes back as it is."""
+    keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    if distinct_ids and len(keys):
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
+        keys, ids = keys[new], ids[new]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(keys)))
+    several = np.repeat(sizes > 1, sizes)
+    own_ids, own = _returned(ids[several], keys[several], counts)
+    nothing = pa.nulls(len(own_ids), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array((mix(own_ids.astype(np.uint64)) % np.uint64(n)).astype(np.int32)), pa.array(np.ones(len(own_ids), np.int32)), pa.array(own_ids), own, nothing, nothing, nothing], _ANCHOR_NAMES)
+    # one entry a key: number of its document in a table, or 0 if it is known to come again
+    keys, single, ids = keys[first], sizes == 1, ids[first]
+    bounds = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
+    rows = []
+    for b in range(n):
+        lo, hi = bounds[b], bounds[b + 1]
+        if lo < hi:
+            known, number = np.unique(ids[lo:hi][single[lo:hi]], return_inverse=True)
+            d = np.zeros(hi - lo, np.int64)
+            d[single[lo:hi]] = number + 1
+            rows.append((b, 0, None, None, pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), pack(d), pack(np.diff(known, prepend=0))))
+    columns = list(zip(*rows, strict=True)) or [[]] * 7
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _ANCHOR_NAMES)
+
+
+def _returned(ids: np.ndarray, keys: np.ndarray, counts: bool) -> tuple[np.ndarray, pa.ListArray]:
+    """Keys by id, or only how many they are."""
+    if counts:
+        known, n = np.unique(ids, return_counts=True)
+        return known, pa.ListArray.from_arrays(pa.array(np.arange(len(known) + 1, dtype=np.int32)), pa.array(n.astype(np.int64)))
+    lead, own = lists(ids, keys)
+    return ids[lead], own
+
+
+def repeated_keys(rows: DataFrame, take: Callable, distinct_ids: bool, counts: bool = False) -> DataFrame:
+    """(id, keys): which of the 44-bit keys that `take` finds in a batch with columns id and text come again, with
+    another id or at all; with `counts`, (id, n): how many of them."""
+    n = 4 * partitions(rows.sparkSession)
 
     def meet(table: pa.Table) -> pa.Table:
         own = table.filter(pa.compute.equal(table["kind"], 1)).select(["id", "keys"])
         sent = table.filter(pa.compute.equal(table["kind"], 0))
-        keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        known = [np.zeros(0, bool)]
+        keys, ids, known = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for h, d, i in zip(sent["h"].to_pylist(), sent["d"].to_pylist(), sent["ids"].to_pylist(), strict=True):
             number = unpack(d)
             keys.append(np.cumsum(unpack(h, np.uint64), dtype=np.uint64))
@@ -204,12 +209,22 @@ def repeated(firsts: DataFrame, shape: Shape) -> DataFrame:
         again[1:] |= same
         again[:-1] |= same
         again &= ~known
-        lead, found = lists(ids[again], keys[again])
-        return pa.concat_tables([own, pa.table({"id": pa.array(ids[again][lead]), "keys": found}, own.schema)])
+        found, own_keys = _returned(ids[again], keys[again], counts)
+        return pa.concat_tables([own, pa.table({"id": pa.array(found), "keys": own_keys}, own.schema)])
 
-    sent = firsts.select("id", "text").mapInArrow(lambda it: _gathered(it, flush, take), ANCHORS)
+    sent = rows.mapInArrow(lambda it: _gathered(it, lambda held: _send(held, n, distinct_ids, counts), take), ANCHORS)
     met = sent.groupBy("bucket").applyInArrow(meet, "id long, keys array<long>")
-    return met.groupBy("id").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    return met.groupBy("id").agg(F.sum(F.col("keys")[0]).alias("n") if counts else F.flatten(F.collect_list("keys")).alias("keys"))
+
+
+def repeated(firsts: DataFrame, shape: Shape) -> DataFrame:
+    """(id, keys): the minimisers of each document that come again."""
+
+    def take(batch: pa.RecordBatch):
+        keys, doc = Elements.of(batch.column("text"), shape).anchors(shape)
+        return keys, batch.column("id").to_numpy()[doc]
+
+    return repeated_keys(firsts.select("id", "text"), take, not shape.anywhere)
 
 
 RUNS = "bucket int, kind int, id long, k2 int, spans array<long>, body binary, sizes binary, weight binary, number binary, ids binary, k2s binary, begins binary"
