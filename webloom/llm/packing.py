@@ -189,13 +189,13 @@ def ranges(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "times", "bin", "offset"), table.T, strict=True))
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, close: int = 0, part_rows: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, close: int = 0, part_rows: int = 1_000) -> DataFrame:
     """(id, piece, start, length, crc, sequence, offset).  Only the histogram of lengths comes to the driver."""
     cut = stage(pieces(docs, vocabulary, id_col, text_col, size, close), "pieces")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = ranges(plan(histogram, size))
     # ranks within (length, part): a common length is dealt to as many parts as its rows need
-    n_parts = max(1, max(histogram.values(), default=0) // part_rows)
+    n_parts = min(4096, max(1, max(histogram.values(), default=0) // part_rows))
     cut = cut.withColumn("part", F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(n_parts)))
     rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "piece", "crc"))
     ranked = cut.withColumn("rank", rank.cast("long") - 1)
