@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import packing, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, url_filter
+from webloom.llm import jaccard_join, packing, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *n, F.sha2(secrets.printed("base"), 256).alias("base_sha256"), secrets.printed("spans").alias("spans"))
 
 
+# --- 5: n-gram Jaccard join ---
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 # --- 6: URL filters ---
 
 RULES = [
@@ -98,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op4_secret_scan": op4_secret_scan,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_url_filter": op6_url_filter,
     "op7_sharding": op7_sharding,
     "op9_substring_dedup": op9_substring_dedup,
