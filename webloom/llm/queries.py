@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import jaccard_join, packing, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, url_filter
+from webloom.llm import jaccard_join, packing, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"stats.{c}").alias(c) for c in names], failed.alias("base_failed"), (~failed & ~out).alias("kept"))
 
 
+# --- 3: WARC ---
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.resolve(warc.round_trip(table(spark, sf_dir, "pages")))
+    number = lambda c: F.col(c).try_cast("long")
+    return rows.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+
+
 # --- 4: secret scans ---
 
 
@@ -105,6 +114,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc": op3_warc,
     "op4_secret_scan": op4_secret_scan,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_url_filter": op6_url_filter,
@@ -116,6 +126,11 @@ QUERIES: dict[str, Query] = {
 _REST = "substr(url, strpos(url, '://') + 3)"
 _HAS = "strpos(url, '://') > 0"
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+h AS (SELECT payload_digest, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN head <> page_id THEN head END AS refers_to
+FROM p LEFT JOIN h ON p.payload_digest = h.payload_digest""",
     "op6_url_filter": rf"""
 WITH p AS (
   SELECT page_id, CASE WHEN {_HAS} THEN translate(regexp_extract({_REST}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
