@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import jaccard_join, packing, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, url_filter, warc
+from webloom.llm import decontaminate, jaccard_join, packing, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,6 +89,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
 
 
+# --- 8: benchmark decontamination ---
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 # --- 9: substring dedup ---
 
 
@@ -119,6 +127,7 @@ QUERIES: dict[str, Query] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_url_filter": op6_url_filter,
     "op7_sharding": op7_sharding,
+    "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
