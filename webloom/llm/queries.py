@@ -114,11 +114,15 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+def packed(docs: DataFrame) -> DataFrame:
+    rows = packing.pack(docs, vocabulary())
     return rows.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
