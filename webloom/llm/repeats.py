@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import byte_values, flat, mix, owner_of, partitions, prefix, ragged, sized, sliding, slices, spans_hash, stage, windows_hash, word_hashes, word_spans
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Text bytes that a batch gathers before it sends.
 FLUSH = 24 << 20
 SHIFT = np.uint64(20)
