@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,27 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.session import kept as stage
+from webloom.session import shared_dir
+
+__all__ = ["SPACES", "WORD", "byte_values", "flat", "mix", "owner_of", "partitions", "prefix", "ragged", "shared_dir", "sized", "slices", "sliding", "spans_hash", "stage", "windows_hash", "word_hashes", "word_spans"]
+
 #: Words are runs of anything but these bytes, in every operator on words.
 SPACES = (0x20, *range(0x09, 0x0E))
 #: The word pattern for engines with regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, set here only where it is unset."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="webloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and runs the plan once."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def sized(small: DataFrame, rows: int, width: int, most: int = 24 << 20) -> DataFrame:
     """Hint a broadcast of `small` where its counted rows times its row width stay below `most` bytes; else leave it to shuffle."""
     return F.broadcast(small) if rows * width <= most else small
