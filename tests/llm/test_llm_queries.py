@@ -1,0 +1,50 @@
+"""The registered queries of the subpackage, and the pipeline."""
+
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from webloom.llm.queries import ORACLE_SQL, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_and_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{DATA}/pages.parquet')")
+    want = con.sql(ORACLE_SQL[name])
+    df = QUERIES[name](spark, DATA)
+    assert sorted(df.columns) == sorted(want.columns)
+    assert Counter(map(tuple, df.select(*want.columns).collect())) == Counter(want.fetchall())
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline(spark, tmp_path):
+    clean = [f"Sentence {k} " + " ".join(f"w{k * 97 % 31}{j}x" for j in range(60)) + "." for k in range(12)]
+    leak = " ".join(f"bench{j}mark" for j in range(25))
+    docs = [(k, t, "en", "s", len(t)) for k, t in enumerate(clean)]
+    near = clean[3].replace("w290x", "changed")
+    docs += [(20, clean[2], "en", "s", 0), (21, near, "en", "s", 0), (22, "too short", "en", "s", 9), (23, clean[4].replace("Sentence", leak), "en", "s", 1), (24, None, None, None, None)]
+    docs += [(25, clean[5].replace("Sentence", "Other") + " other token = " + "ab12" * 10 + " end " + " ".join(f"v{j}" for j in range(40)), "en", "s", 2)]
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    write(docs, "doc_id long, text string, lang string, source string, n_chars long", "documents")
+    write([(k, 1, 0) for k in range(12)], "doc_id long, quality int, toxic int", "labels")
+    write([(0, leak)], "item_id long, text string", "benchmark")
+    table, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        table = step(spark, table, str(tmp_path))
+        assert table.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        seen.append({r.doc_id: r.text for r in table.collect()})
+    kept = set(range(12)) | {25}
+    assert set(seen[0]) == kept | {20, 21, 23} and set(seen[1]) == kept | {23} and set(seen[2]) == kept and set(seen[3]) == kept
+    assert "[SECRET]" in seen[3][25] and all(seen[3][k] == clean[k] for k in range(12))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == kept
