@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from webloom.session import kept as stage
 from webloom.session import shared_dir
 
-__all__ = ["SPACES", "WORD", "byte_values", "flat", "mix", "owner_of", "partitions", "prefix", "ragged", "shared_dir", "sized", "slices", "sliding", "spans_hash", "stage", "windows_hash", "word_hashes", "word_spans"]
+__all__ = ["SPACES", "WORD", "byte_values", "flat", "mix", "owner_of", "partitions", "prefix", "ragged", "release", "shared_dir", "sized", "slices", "sliding", "spans_hash", "stage", "windows_hash", "word_hashes", "word_spans"]
 
 #: Words are runs of anything but these bytes, in every operator on words.
 SPACES = (0x20, *range(0x09, 0x0E))
@@ -25,6 +26,14 @@ def sized(small: DataFrame, rows: int, width: int, most: int = 24 << 20) -> Data
     return F.broadcast(small) if rows * width <= most else small
 
 
+def release() -> None:
+    """Gives freed memory back to the system where the allocator can, since workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

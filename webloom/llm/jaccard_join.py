@@ -6,10 +6,10 @@ A document is the set of its 5-word shingles (64-bit hashes).  Two sets link whe
 2. A set that links with another has all but `slack` of its shingles in it, so it needs slack + 1 repeated ones among
    its 2 * slack + 1 lowest.  Only nodes that have them go on (repeats: packed ranges of keys, no set is moved).
 3. First links: nodes that share one of their `SIGNS` lowest shingles meet the least of them, a star's centre.
-4. All others: in the global order (rare shingles first, shingles of many nodes last) two linked sets share a shingle
-   among their first slack + 1.  Where such a shingle joins nodes of different classes, a node is held against the
-   other class, in blocks of `BLOCK` members.  So no pair within a class, and no pair that shares only common
-   shingles, is ever formed.
+4. All others: in the global order (rare shingles first, shingles of many nodes last) the first shingles that two linked
+   sets share are early in both: k of them are among the first slack + k of each.  Where early shingles join a node with
+   enough of another class, the node is held against that class, in blocks of `BLOCK` members and `ASKS` nodes.  So no
+   pair within a class, and no pair that shares only common shingles, is ever formed.
 In steps 3 and 4 a task stores the globally ordered sets of one side in a prefix tree and walks it with the other side's
 sets: members that share a prefix share its partial overlap, and a subtree goes when the overlap so far and the lengths
 that remain cannot reach the threshold.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import flat, mix, partitions, slices, spans_hash, prefix, byte_values, sized, stage, windows_hash, word_spans
+from webloom.llm.common import byte_values, flat, mix, prefix, sized, slices, spans_hash, stage, windows_hash, word_spans
 from webloom.llm.repeats import SHIFT, SLICE, repeated_keys
 
 SIGNS = 4
@@ -36,6 +36,9 @@ SIGNS = 4
 COMMON = 64
 #: Members of a class that one tree holds.
 BLOCK = 512
+ASKS = 2048
+#: Text bytes that a batch gathers before it sends keys.
+FLUSH = 12 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -63,6 +66,17 @@ def slack(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100)
 
 
+def _early_count(n: str, percent: int) -> str:
+    """SQL for how many early shingles a set of n has: slack + k, with k a quarter of the slack, and one."""
+    return f"(({n} - ceil({percent} * {n} / 100.0)) + 1 + floor(({n} - ceil({percent} * {n} / 100.0)) / 4))"
+
+
+def _shared_early(n: str, percent: int) -> str:
+    """SQL for how many early shingles it shares with any set it links with: k of the smallest such set, whose slack is
+    at least percent / 100 of this one's, less one."""
+    return f"(1 + greatest(0, floor(({percent} / 100.0 * ({n} - ceil({percent} * {n} / 100.0)) - 1) / 4)))"
+
+
 def _digests(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two sums that stand for each set."""
     out = []
@@ -212,7 +226,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         low = rank < np.repeat(2 * slack(n, percent) + 1, n)
         return tokens[low] >> SHIFT, np.repeat(batch.column("id").to_numpy(), n)[low]
 
-    counts = repeated_keys(firsts, lowest, distinct_ids=True, counts=True).select("id", F.col("n").alias("again"))
+    counts = repeated_keys(firsts, lowest, distinct_ids=True, counts=True, flush_bytes=FLUSH).select("id", F.col("n").alias("again"))
     some = F.expr(f"n - cast(ceil({percent} * n / 100.0) AS long)")
     able = stage(counts.join(named.where("id = node"), "id").where(F.col("again") > some).select("id").distinct(), "able")
 
@@ -223,7 +237,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64)))], ["node", "tokens"])
 
     sets = rows.join(sized(able, able.count(), 16), "id", "left_semi").mapInArrow(gather, "node long, tokens array<long>")
-    sets = stage(sets.where(F.size("tokens") > 0).dropDuplicates(["node", "tokens"]), "able-sets")
+    sets = sets.where(F.size("tokens") > 0)
+    if not named.groupBy("id").count().where("count > 1").isEmpty():  # rows that share an id
+        sets = sets.dropDuplicates(["node", "tokens"])
+    sets = stage(sets, "able-sets")
 
     # first links: stars on the lowest shingles
     signs = sets.select("node", F.explode(F.slice("tokens", 1, SIGNS)).alias("token"))
@@ -240,16 +257,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     # all others: shingles that stand early in the global order and join different classes
     early = _early(sets, percent).join(nodes, "node")
     mixed = early.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("token")
-    early = stage(early.join(mixed, "token").select("token", "node", "class").distinct(), "early")
+    early = stage(early.join(mixed, "token").select("token", "node", "n", "class").distinct(), "early")
     weight = nodes.groupBy("class").agg(F.count("*").alias("members"))
     held = early.select("token", "class").distinct().join(weight, "class")
-    asks = early.join(weight, "class").select("token", "node", F.col("class").alias("own"), F.col("members").alias("own_members"))
+    asks = early.join(weight, "class").select("token", "node", "n", F.col("class").alias("own"), F.col("members").alias("own_members"))
     # the smaller class asks the larger one
     asks = asks.join(held, "token").where((F.col("class") != F.col("own")) & ((F.col("own_members") < F.col("members")) | (F.col("own_members") == F.col("members")) & (F.col("own") > F.col("class"))))
-    asks = stage(asks.select("node", "class", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")).distinct(), "asks")
-    asked = asks.select("class", "blocks").distinct()
-    members = nodes.join(asked, "class").join(sets, "node").select(F.col("class").alias("group"), F.pmod(F.hash("node"), F.col("blocks")).alias("block"), F.lit(0).alias("side"), "node", "tokens")
-    queries = asks.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).join(sets, "node").select(F.col("class").alias("group"), "block", F.lit(1).alias("side"), "node", "tokens")
+    asks = asks.groupBy("node", "n", "class", "members").agg(F.count("*").alias("shared")).where(f"shared >= {_shared_early('n', percent)}")
+    asks = stage(asks.select("node", "class", "members").distinct(), "asks")
+    asked = asks.groupBy("class").agg(F.ceil(F.first("members") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / ASKS).cast("int").alias("turns"))
+    deal = lambda own, of: F.pmod(F.hash(own, F.lit(of)), F.col(of))
+    place = (F.col("b") * F.col("turns") + F.col("t")).alias("block")
+    members = nodes.join(asked, "class").withColumn("b", deal("node", "blocks")).withColumn("t", F.explode(F.expr("sequence(0, turns - 1)")))
+    members = members.join(sets, "node").select(F.col("class").alias("group"), place, F.lit(0).alias("side"), "node", "tokens")
+    queries = asks.join(asked, "class").withColumn("t", deal("node", "turns")).withColumn("b", F.explode(F.expr("sequence(0, blocks - 1)")))
+    queries = queries.join(sets, "node").select(F.col("class").alias("group"), place, F.lit(1).alias("side"), "node", "tokens")
     more = stage(_joined(members.unionByName(queries), percent), "other-links")
     joined = nodes.select(F.col("node").alias("a"), F.col("class").alias("b"))
     labels = stage(components(joined.unionByName(more)), "classes")
@@ -261,27 +283,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 
 
 def _early(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, node): each set's first slack + 1 shingles in the global order that some other set holds too."""
-    n = partitions(sets.sparkSession)
-    tokens = sets.select("node", F.explode("tokens").alias("token"))
-    common = stage(tokens.groupBy("token").agg(F.count("*").alias("held")).where(f"held > {COMMON}"), "common")
-    common = common.select("token", F.lit(1).alias("often"))
-    marks = tokens.join(sized(common, common.count(), 24), "token").groupBy("node").agg(F.collect_list("token").alias("often"))
-    own = sets.join(marks, "node", "left").withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, whose = [], []
-            for node, mine, often in zip(batch.column("node").to_pylist(), batch.column("tokens"), batch.column("often"), strict=True):
-                t = mine.values.to_numpy().view(np.uint64)
-                late = np.isin(t, often.values.to_numpy().view(np.uint64))
-                first = t[np.lexsort((t, late))][: int(slack(np.array([len(t)]), percent)[0]) + 1]
-                found.append(first.view(np.int64))
-                whose.append(np.full(len(first), node, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(whose))], ["token", "node"])
-
-    return stage(own.mapInArrow(pick, "token long, node long").repartition(n, "token"), "prefixes")
+    """(token, node, n): each set's first shingles in the global order.  Common ones are those that many sets have among
+    their lowest; whichever they are, the order is one for all sets."""
+    sets = sets.withColumn("n", F.size("tokens").cast("long")).withColumn("k", F.expr(f"cast({_early_count('n', percent)} AS int)"))
+    lowest = sets.select("node", F.explode(F.expr("slice(tokens, 1, k)")).alias("token"))
+    common = stage(lowest.groupBy("token").agg(F.count("*").alias("held")).where(f"held > {COMMON}").select("token"), "common")
+    rows = common.count()
+    if not rows:
+        return sets.select(F.explode(F.expr("slice(tokens, 1, k)")).alias("token"), "node", "n")
+    # a set with a common shingle among its lowest reaches further, past all that it has
+    marked = sets.select("node", F.explode("tokens").alias("token")).join(sized(common, rows, 16), "token")
+    marks = marked.groupBy("node").agg(F.collect_list("token").alias("often"))
+    marks = stage(marks, "marks")
+    own = sets.join(marks, "node", "left").withColumn("rest", F.expr("if(often IS NULL, tokens, array_except(tokens, often))"))
+    first = F.expr("if(size(rest) >= k, slice(rest, 1, k), concat(rest, slice(array_sort(often), 1, k - size(rest))))")
+    return stage(own.select(F.explode(first).alias("token"), "node", "n"), "prefixes")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

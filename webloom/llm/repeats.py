@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import byte_values, flat, mix, owner_of, partitions, prefix, ragged, sized, sliding, slices, spans_hash, stage, windows_hash, word_hashes, word_spans
+from webloom.llm.common import byte_values, flat, mix, owner_of, partitions, prefix, ragged, release, sized, sliding, slices, spans_hash, stage, windows_hash, word_hashes, word_spans
 
 SLICE = 2 << 20
 #: Text bytes that a batch gathers before it sends.
@@ -131,17 +131,20 @@ def flagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(sized(groups, groups.count(), 48), ["t1", "t2"], "left").select("id", "k2", "text", "first", "copies")
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], flush: Callable, take: Callable) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], flush: Callable, take: Callable, most: int = FLUSH) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for whole in batches:
         for batch in slices(whole, "text", SLICE):
             held.append(take(batch))
             size += batch.column("text").nbytes
-            if size >= FLUSH:
+            if size >= most:
                 yield from flush(held)
                 held, size = [], 0
+                release()
     if held:
         yield from flush(held)
+    del held
+    release()
 
 
 ANCHORS = "bucket int, kind int, id long, keys array<long>, h binary, d binary, ids binary"
@@ -187,7 +190,7 @@ def _returned(ids: np.ndarray, keys: np.ndarray, counts: bool) -> tuple[np.ndarr
     return ids[lead], own
 
 
-def repeated_keys(rows: DataFrame, take: Callable, distinct_ids: bool, counts: bool = False) -> DataFrame:
+def repeated_keys(rows: DataFrame, take: Callable, distinct_ids: bool, counts: bool = False, flush_bytes: int = FLUSH) -> DataFrame:
     """(id, keys): which of the 44-bit keys that `take` finds in a batch with columns id and text come again, with
     another id or at all; with `counts`, (id, n): how many of them."""
     n = 4 * partitions(rows.sparkSession)
@@ -212,7 +215,7 @@ def repeated_keys(rows: DataFrame, take: Callable, distinct_ids: bool, counts: b
         found, own_keys = _returned(ids[again], keys[again], counts)
         return pa.concat_tables([own, pa.table({"id": pa.array(found), "keys": own_keys}, own.schema)])
 
-    sent = rows.mapInArrow(lambda it: _gathered(it, lambda held: _send(held, n, distinct_ids, counts), take), ANCHORS)
+    sent = rows.mapInArrow(lambda it: _gathered(it, lambda held: _send(held, n, distinct_ids, counts), take, flush_bytes), ANCHORS)
     met = sent.groupBy("bucket").applyInArrow(meet, "id long, keys array<long>")
     return met.groupBy("id").agg(F.sum(F.col("keys")[0]).alias("n") if counts else F.flatten(F.collect_list("keys")).alias("keys"))
 
