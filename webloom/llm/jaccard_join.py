@@ -4,7 +4,8 @@ A document is the set of its 5-word shingles (64-bit hashes).  Two sets link whe
 
 1. Equal sets become one node, named by the least id.
 2. A set that links with another has all but `slack` of its shingles in it, so it needs slack + 1 repeated ones among
-   its 2 * slack + 1 lowest.  Only nodes that have them go on (repeats: packed ranges of keys, no set is moved).
+   its 2 * slack + 1 lowest (a few small sets send more, see `low_count`).  Only nodes that have them go on (repeats:
+   packed ranges of keys, no set is moved).
 3. First links: nodes that share one of their `SIGNS` lowest shingles meet the least of them, a star's centre.
 4. All others: in the global order (rare shingles first, shingles of many nodes last) the first shingles that two linked
    sets share are early in both: k of them are among the first slack + k of each.  Where early shingles join a node with
@@ -66,6 +67,16 @@ def slack(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100)
 
 
+def low_count(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of its lowest shingles a set of n sends, so that each set it links with sees slack + 1 of its own again:
+    2 * slack + 1, and at least what a larger set may need.  Of sets of m and n, the common shingle of place slack(m) has
+    at most n - common others before it in the set of n; that sum is largest at m = n or at m = n * 100 / percent.
+    For a percent over 50."""
+    q = percent / 100
+    most = np.floor((1 - q) * max(1 + 1 / (1 + q), 1 / q) * n + 1e-9).astype(np.int64)
+    return np.maximum(2 * slack(n, percent), most) + 1
+
+
 def _early_count(n: str, percent: int) -> str:
     """SQL for how many early shingles a set of n has: slack + k, with k a quarter of the slack, and one."""
     return f"(({n} - ceil({percent} * {n} / 100.0)) + 1 + floor(({n} - ceil({percent} * {n} / 100.0)) / 4))"
@@ -223,7 +234,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         tokens, at = shingles(*flat(batch.column("text")), size)
         n = np.diff(at)
         rank = np.arange(len(tokens)) - np.repeat(at[:-1], n)
-        low = rank < np.repeat(2 * slack(n, percent) + 1, n)
+        low = rank < np.repeat(low_count(n, percent), n)
         return tokens[low] >> SHIFT, np.repeat(batch.column("id").to_numpy(), n)[low]
 
     counts = repeated_keys(firsts, lowest, distinct_ids=True, counts=True, flush_bytes=FLUSH).select("id", F.col("n").alias("again"))
