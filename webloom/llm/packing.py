@@ -25,7 +25,7 @@ from webloom.llm.common import byte_values, flat, prefix, ragged, slices, spans_
 
 SIZE = 2048
 SLICE = 6 << 20
-#: Distinct text segments whose ids a worker keeps.
+#: Distinct text segments whose ids a worker keeps from slice to slice.
 CACHE = 600_000
 
 _WHITE = np.zeros(256, bool)
@@ -63,8 +63,6 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > CACHE:
-            self.clear()
         found = [x.ids for lo in range(0, len(texts), 20_000) for x in self.tokenizer.encode_batch(texts[lo : lo + 20_000], add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         starts = len(self.ids) + np.cumsum(lengths) - lengths
@@ -80,12 +78,14 @@ class Encoder:
         ends = np.append(starts[1:], len(data))
         hashes = spans_hash(prefix(byte_values(data)), starts, ends)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        for _ in range(2):  # a second time if the cache was cleared for new segments
-            pos = np.searchsorted(self.keys, keys)
-            new = (pos == len(self.keys)) | (self.keys[np.minimum(pos, len(self.keys) - 1)] != keys) if len(self.keys) else np.ones(len(keys), bool)
-            if new.any():
-                raw = data.tobytes()
-                self._learn(keys[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]])
+        pos = np.searchsorted(self.keys, keys)
+        new = (pos == len(self.keys)) | (self.keys[np.minimum(pos, len(self.keys) - 1)] != keys) if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            if len(self.keys) + new.sum() > CACHE:  # all that this slice has is learned at once, whatever its number
+                self.clear()
+                new[:] = True
+            raw = data.tobytes()
+            self._learn(keys[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]])
         pos = np.searchsorted(self.keys, keys)[back]
         lengths = self.lengths[pos]
         ids = self.ids[ragged(self.starts[pos], lengths)]
