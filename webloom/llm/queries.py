@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import decontaminate, jaccard_join, packing, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, url_filter, warc
+from webloom.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,7 +87,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = sharding.shard(table(spark, sf_dir, "documents"), n_shards=24, overhead=8)
+    stored = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    rows, _ = sharding.shard(table(spark, sf_dir, "documents"), n_shards=24, overhead=8, path=stored)
     return rows.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
 
 

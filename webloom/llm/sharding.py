@@ -123,8 +123,9 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     return SlotMap(version, rows[0].n_shards, tuple(r.shard for r in rows), tuple(r.bytes for r in rows))
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 24, n_slots: int = N_SLOTS, overhead: int = 8, use: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
-    """Rows (id, size, crc, vslot, shard, place) and the map that placed them; `use` keeps an earlier map.
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 24, n_slots: int = N_SLOTS, overhead: int = 8, use: SlotMap | None = None, path: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """Rows (id, size, crc, vslot, shard, place) and the map that placed them; `use` keeps an earlier map.  With a `path`, the
+    map is stored there and rows are placed by the stored version.
 
     `place` counts a shard's rows from 0 without gaps: rows rank within (slot, part), and the parts' row counts, which
     are a bounded table, say where each part begins.
@@ -135,6 +136,9 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sha
     for slot, _, size, _ in parts:
         loads[slot] += size
     m = use or first_map(loads, n_shards)
+    if path is not None:
+        save_map(docs.sparkSession, m, path)
+        m = load_map(docs.sparkSession, path, m.version)
     filled, begins = [0] * m.n_shards, []
     for slot, part, _, rows in parts:
         begins.append((slot, part, m.shard_of[slot], filled[m.shard_of[slot]]))
