@@ -113,9 +113,29 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Elements that one polynomial covers.  Modulo 2**64 a longer one is zero for some differences whatever its base (those
+#: of Thue-Morse words); over so few elements it is not.
+CHUNK = 32
+
+
 def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A span of more than CHUNK elements is hashed as the sequence of its chunks' hashes, which `mix` makes independent
+    of each other, and so on."""
     _, down = _grown(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    lengths = ends - starts
+    long = np.flatnonzero(lengths > CHUNK)
+    if not len(long):
+        return mix((sums[ends] - sums[starts]) * down[starts] + lengths.astype(np.uint64))
+    out = np.empty(len(starts), np.uint64)
+    short = np.flatnonzero(lengths <= CHUNK)
+    out[short] = mix((sums[ends[short]] - sums[starts[short]]) * down[starts[short]] + lengths[short].astype(np.uint64))
+    parts = -(-lengths[long] // CHUNK)
+    at = np.concatenate([[0], np.cumsum(parts)])
+    lo = np.repeat(starts[long], parts) + CHUNK * ragged(np.zeros(len(long), np.int64), parts)
+    hi = np.minimum(lo + CHUNK, np.repeat(ends[long], parts))
+    inner = mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+    out[long] = mix(spans_hash(prefix(inner), at[:-1], at[1:]) + lengths[long].astype(np.uint64))
+    return out
 
 
 def windows_hash(values: np.ndarray, k: int) -> np.ndarray:
