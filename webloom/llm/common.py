@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from webloom.session import kept as stage
 from webloom.session import shared_dir
 
-__all__ = ["SPACES", "WORD", "byte_values", "flat", "mix", "owner_of", "partitions", "prefix", "ragged", "release", "shared_dir", "sized", "slices", "sliding", "spans_hash", "stage", "windows_hash", "word_hashes", "word_spans"]
+__all__ = ["SPACES", "WORD", "by_slice", "byte_values", "flat", "mix", "owner_of", "partitions", "prefix", "ragged", "release", "shared_dir", "sized", "slices", "sliding", "spans_hash", "stage", "windows_hash", "word_hashes", "word_spans"]
 
 #: Words are runs of anything but these bytes, in every operator on words.
 SPACES = (0x20, *range(0x09, 0x0E))
@@ -60,6 +60,14 @@ def slices(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBat
         lo = hi
 
 
+def by_slice(batches: Iterator[pa.RecordBatch], name: str, most: int, one: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`one` of each slice; its memory goes back before the worker takes another task."""
+    for whole in batches:
+        for batch in slices(whole, name, most):
+            yield one(batch)
+    release()
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 

@@ -6,18 +6,21 @@ A document is the set of its 5-word shingles (64-bit hashes).  Two sets link whe
 2. A set that links with another has all but `slack` of its shingles in it, so it needs slack + 1 repeated ones among
    its 2 * slack + 1 lowest (a few small sets send more, see `low_count`).  Only nodes that have them go on (repeats:
    packed ranges of keys, no set is moved).
-3. First links: nodes that share one of their `SIGNS` lowest shingles meet the least of them, a star's centre.
-4. All others: in the global order (rare shingles first, shingles of many nodes last) the first shingles that two linked
-   sets share are early in both: k of them are among the first slack + k of each.  Where early shingles join a node with
-   enough of another class, the node is held against that class, in blocks of `BLOCK` members and `ASKS` nodes.  So no
-   pair within a class, and no pair that shares only common shingles, is ever formed.
+3. First links: of the nodes that share one of their `SIGNS` lowest shingles the one with the largest share of repeated
+   shingles is a star's centre; the others are held against it.  Those that link make first classes.  Each node also
+   joins the cluster of the centre that it is most like, linked or not; clusters only deal out the work of step 4.
+4. All others: in the global order, from rare shingles to those of many nodes, two sets that link share one of their
+   first slack + 1 shingles (the least common one has only shingles that the other lacks before it).  Where such a
+   shingle joins a node with another class in some cluster, the node is held against that cluster's nodes, the smaller
+   cluster's against the larger's, in tiles of `TILE` shingles a side.  So nodes of one class are not paired, a cluster
+   is asked once by a node however many shingles or classes they share, and pairs are not formed as rows.
 In steps 3 and 4 a task stores the globally ordered sets of one side in a prefix tree and walks it with the other side's
-sets: members that share a prefix share its partial overlap, and a subtree goes when the overlap so far and the lengths
-that remain cannot reach the threshold.
+sets, all at once: members that share a prefix share its partial overlaps, and a subtree is left by the sets whose
+overlap so far and remaining length cannot reach the threshold.  A tile returns a spanning forest of its links.
 
 Defined results: null, empty and wordless texts have no shingles and are their own class; a null id links with nothing
-and has a null class; rows that share an id are one document; an empty table gives an empty result; other columns are
-ignored.
+and has a null class; rows that share an id are one document, which links by any of its texts; ties between centres go
+to the least id; a text of any length is one set; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import byte_values, flat, mix, prefix, sized, slices, spans_hash, stage, windows_hash, word_spans
+from webloom.llm.common import by_slice, byte_values, flat, mix, partitions, prefix, release, sized, spans_hash, stage, windows_hash, word_spans
 from webloom.llm.repeats import SHIFT, SLICE, repeated_keys
 
 SIGNS = 4
-#: Shingles that more nodes hold than this come last in the global order.
-COMMON = 64
-#: Members of a class that one tree holds.
-BLOCK = 512
-ASKS = 2048
+#: A node joins the cluster of a centre with at least this Jaccard similarity, in percent.
+ALIKE = 40
+#: Shingles of one side of a tile.
+TILE = 1 << 18
+#: Elements of an edge that a walk takes at a time, and bytes of its table of queries.
+STRIDE, TABLE = 48, 48 << 20
 #: Text bytes that a batch gathers before it sends keys.
 FLUSH = 12 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -77,17 +81,6 @@ def low_count(n: np.ndarray, percent: int) -> np.ndarray:
     return np.maximum(2 * slack(n, percent), most) + 1
 
 
-def _early_count(n: str, percent: int) -> str:
-    """SQL for how many early shingles a set of n has: slack + k, with k a quarter of the slack, and one."""
-    return f"(({n} - ceil({percent} * {n} / 100.0)) + 1 + floor(({n} - ceil({percent} * {n} / 100.0)) / 4))"
-
-
-def _shared_early(n: str, percent: int) -> str:
-    """SQL for how many early shingles it shares with any set it links with: k of the smallest such set, whose slack is
-    at least percent / 100 of this one's, less one."""
-    return f"(1 + greatest(0, floor(({percent} / 100.0 * ({n} - ceil({percent} * {n} / 100.0)) - 1) / 4)))"
-
-
 def _digests(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two sums that stand for each set."""
     out = []
@@ -97,22 +90,32 @@ def _digests(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
+def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """The least number of common shingles by which sets of n and m link."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 class PrefixTree:
-    """Sets, sorted and by their elements, as a tree whose edges are stretches of elements.
+    """Sets as a tree whose edges are stretches of their elements, in one order for all: from those of most sets on.
 
     node: (depth where its edge begins, depth where it ends, a set that holds it, least and largest size below, children,
     sets that end here)
     """
 
     def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sets = sets
-        raw = [x.astype(">u8").tobytes() for x in sets]
+        flat_sets = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        self.known, back, held = np.unique(flat_sets, return_inverse=True, return_counts=True)
+        self.place = np.empty(len(self.known), np.int64)
+        self.place[np.argsort(-held, kind="stable")] = np.arange(len(self.known))
+        cuts = np.cumsum([len(x) for x in sets])[:-1]
+        self.sets = [np.sort(x) for x in np.split(self.place[back], cuts)] if sets else []
+        raw = [x.astype(">u4").tobytes() for x in self.sets]
         order = sorted(range(len(sets)), key=raw.__getitem__)
         self.root = [0, 0, order[0] if order else 0, 1 << 60, 0, [], []]
         path = [self.root]
         before = None
         for k in order:
-            own = sets[k]
+            own = self.sets[k]
             common = 0 if before is None else self._common(before, own)
             last = None
             while path[-1][1] > common:
@@ -137,48 +140,109 @@ class PrefixTree:
         apart = np.flatnonzero(a[:n] != b[:n])
         return int(apart[0]) if len(apart) else n
 
-    def links(self, x: np.ndarray, percent: int) -> list[int]:
-        """The sets that link with x: percent * union <= 100 * common."""
-        need = lambda n: -(-percent * (len(x) + n) // (100 + percent))  # noqa: E731  least common elements with a set of n
-        found, todo = [], [(self.root, 0)]
+    def _table(self, queries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which elements (by place) each query has, how many of its before each 64th place, and how many at all."""
+        owner = np.repeat(np.arange(len(queries)), [len(x) for x in queries])
+        found = np.concatenate(queries)
+        spot = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+        held = self.known[spot] == found
+        table = np.zeros((len(self.known), len(queries)), np.uint8)
+        table[self.place[spot[held]], owner[held]] = 1
+        sums = np.add.reduceat(table, np.arange(0, len(table), 64), axis=0, dtype=np.int32)
+        before = np.concatenate([np.zeros((1, len(queries)), np.int32), np.cumsum(sums, axis=0, dtype=np.int32)])
+        return table, before, before[-1]
+
+    def matches(self, queries: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, set, common elements) where 100 * common >= percent * union.  All queries walk the tree together."""
+        out = [(np.zeros(0, np.int64),) * 3]
+        step = max(16, TABLE // max(1, len(self.known)))
+        for a in range(0, len(queries) if self.sets else 0, step):
+            out += [(q + a, np.full(len(q), k), common) for q, k, common in self._walk(queries[a : a + step], percent)]
+        return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+
+    def _walk(self, queries: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        table, before, inside = self._table(queries)
+        sizes = np.array([len(x) for x in queries])
+        todo = [(self.root, np.arange(len(queries)), np.zeros(len(queries), np.int64))]
         while todo:
-            (lo, hi, held, least, most, children, ends), overlap = todo.pop()
-            if hi > lo:
-                edge = self.sets[held][lo:hi]
-                spot = np.searchsorted(x, edge)
-                overlap += int((x[np.minimum(spot, len(x) - 1)] == edge).sum())
-                left = len(x) - int(np.searchsorted(x, edge[-1], "right"))
-                best = min(max(hi + left, least), most)  # the size that has most to gain
-                if overlap + min(best - hi, left) < need(best):
-                    continue
-            found += [k for k in ends if overlap >= need(len(self.sets[k]))]
-            todo += [(child, overlap) for child in children]
-        return found
-
-
-def _walks(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the members (side 0) and the queries (side 1) of a task."""
-    side, node = table["side"].to_numpy(), table["node"].to_numpy()
-    column = table["tokens"].combine_chunks()
-    values, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-    sets = [values[at[i] : at[i + 1]] for i in range(len(node))]
-    members, queries = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if not len(members) or not len(queries):
-        return node[:0], node[:0]
-    tree = PrefixTree([sets[i] for i in members])
-    pairs = [(node[q], node[members[k]]) for q in queries for k in tree.links(sets[q], percent)]
-    both = np.array(pairs, np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
-
-
-def _joined(sides: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the links in each group of `sides` (group, block, side, node, tokens)."""
+            (lo, hi, held, least, most, children, ends), live, overlap = todo.pop()
+            while lo < hi and len(live):
+                edge = self.sets[held][lo : min(lo + STRIDE, hi)]
+                lo += len(edge)
+                rows = table[edge] if len(live) == len(queries) else table[edge[:, None], live]
+                overlap = overlap + rows.sum(axis=0, dtype=np.uint8)
+                left = inside[live] - before[edge[-1] >> 6][live]  # the query's elements that may still come
+                best = np.minimum(np.maximum(lo + left, least), most)  # the size that has most to gain
+                able = overlap + np.minimum(best - lo, left) >= needed(sizes[live], best, percent)
+                if not able.all():
+                    live, overlap = live[able], overlap[able]
+            if not len(live):
+                continue
+            for k in ends:
+                own = overlap >= needed(sizes[live], len(self.sets[k]), percent)
+                if own.any():
+                    yield live[own], k, overlap[own]
+            todo += [(child, live, overlap) for child in children]
+
+    def links(self, x: np.ndarray, percent: int) -> list[int]:
+        """The sets that link with x."""
+        return self.matches([x], percent)[1].tolist()
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same nodes as the edges (a, b): each node and the least that it reaches."""
+    known, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = number[: len(a)], number[len(a) :]
+    label = np.arange(len(known))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        new = new[new[new]]
+        if (new == label).all():
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(len(known)))
+    return known[own], known[label[own]]
+
+
+LINKS = "a long, b long, alike double"
+
+
+def _tiles(sides: DataFrame, percent: int, least: int) -> DataFrame:
+    """(a, b, alike) of each tile (group, tile) of `sides` (group, tile, side, node, tokens).  With least < percent, all
+    pairs of a query (side 1) and a member (side 0) that are so much alike; else a spanning forest of the links."""
+    parts = 4 * partitions(sides.sparkSession)
+
+    def one(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        side, node = table["side"].to_numpy(), table["node"].to_numpy()
+        column = table["tokens"].combine_chunks()
+        values, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+        members, queries = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(members) or not len(queries):
+            return node[:0], node[:0], np.zeros(0)
+        sets = lambda at_: [values[at[i] : at[i + 1]] for i in at_]
+        q, m, common = PrefixTree(sets(members)).matches(sets(queries), least)
+        sizes = np.diff(at)
+        alike = common / (sizes[queries[q]] + sizes[members[m]] - common)
+        a, b = node[queries[q]], node[members[m]]
+        if least < percent:
+            return a, b, alike
+        a, b = _forest(a, b)
+        return a, b, np.ones(len(a))
 
     def walk(table: pa.Table) -> pa.Table:
-        a, b = _walks(table, percent)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        table = table.sort_by([("group", "ascending"), ("tile", "ascending")])
+        keys = np.stack([table["group"].to_numpy(), table["tile"].to_numpy().astype(np.int64)])
+        cuts = np.concatenate([[0], 1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)), [table.num_rows]])
+        found = [one(table.slice(lo, hi - lo)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        a, b, alike = (np.concatenate(x) for x in zip(*found, strict=True))
+        release()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "alike": pa.array(alike, pa.float64())})
 
-    return sides.groupBy("group", "block").applyInArrow(walk, "a long, b long")
+    dealt = sides.withColumn("part", F.pmod(F.hash("group", "tile"), F.lit(parts)))
+    return dealt.groupBy("part").applyInArrow(walk, LINKS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,24 +274,58 @@ def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    twice = stage(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 AND id IS NOT NULL").select("id"), "several-rows")
+    if twice.isEmpty():
+        return _classes_of(rows, size, percent).withColumnRenamed("n", "n_shingles")
+    # each text of an id with several rows is a node of its own, and all of an id's nodes are one class
+    several = twice.withColumn("several", F.lit(True))
+    keyed = rows.join(sized(several, twice.count(), 16), "id", "left")
+    keyed = keyed.select("id", F.when(F.col("several"), F.xxhash64("id", "text")).otherwise(F.col("id")).alias("key"), "text")
+    texts = keyed.select(F.col("key").alias("id"), "text").dropDuplicates(["id", "text"])
+    found = stage(_classes_of(texts.where("id IS NOT NULL"), size, percent).select(F.col("id").alias("key"), F.col("component_id").alias("label")), "texts")
+    members = keyed.select("id", "key").where("id IS NOT NULL").distinct().join(found, "key")
+    first = members.groupBy("id").agg(F.min("label").alias("b"))
+    again = components(members.join(first, "id").select(F.col("label").alias("a"), "b"))
+    members = stage(members.join(again.select(F.col("node").alias("label"), F.col("label").alias("joined")), "label", "left").select("id", F.coalesce("joined", "label").alias("label")).distinct(), "members")
+    least = members.groupBy("label").agg(F.min("id").alias("component_id"))
+    known = members.join(least, "label").select("id", "component_id")
+    return _counted(rows, size).join(known, "id", "left").select("id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _counted(rows: DataFrame, size: int) -> DataFrame:
+    """(id, n, d1, d2): size and digests of each row's set."""
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, at = shingles(*flat(batch.column("text")), size)
+        d1, d2 = _digests(tokens, at)
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at)), pa.array(d1), pa.array(d2)], ["id", "n", "d1", "d2"])
+
+    return rows.mapInArrow(lambda it: by_slice(it, "text", SLICE, measure), "id long, n long, d1 long, d2 long")
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE):
-                tokens, at = shingles(*flat(batch.column("text")), size)
-                d1, d2 = _digests(tokens, at)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at)), pa.array(d1), pa.array(d2)], ["id", "n", "d1", "d2"])
 
-    measured = stage(rows.mapInArrow(measure, "id long, n long, d1 long, d2 long"), "sets")
+def _classes_of(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, n, component_id) of rows (id, text) without repeated ids."""
+    measured = stage(_counted(rows, size), "sets")
     full = measured.where("n > 0 AND id IS NOT NULL")
     groups = full.groupBy("n", "d1", "d2").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     groups = stage(groups, "equal")
-    n_groups = groups.count()
-    named = full.join(sized(groups, n_groups, 48), ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("first", "id").alias("node"))
+    named = full.join(sized(groups, groups.count(), 48), ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("first", "id").alias("node"))
     named = stage(named, "named")
-    later = stage(named.where("id > node").select("id").distinct(), "later")
+    sets = _able_sets(rows, named, size, percent)
+    edges, near = _stars(sets, percent)
+    nodes = _clusters(sets, edges, near)
+    more = _other_links(sets, nodes, percent)
+    joined = nodes.select(F.col("node").alias("a"), F.col("class").alias("b"))
+    labels = stage(components(joined.unionByName(more)), "classes")
+    named = named.join(sized(labels, labels.count(), 24), "node", "left").select("id", "n", F.coalesce("label", "node").alias("component_id"))
+    rest = measured.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
+    return named.unionByName(rest)
+
+
+def _able_sets(rows: DataFrame, named: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, n, repeated, tokens): sets that may link, and the share of their lowest shingles that come again."""
+    later = stage(named.where("id > node").select("id"), "later")
     firsts = rows.where("id IS NOT NULL AND text <> ''").join(sized(later, later.count(), 16), "id", "left_anti")
 
     def lowest(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -237,78 +335,78 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         low = rank < np.repeat(low_count(n, percent), n)
         return tokens[low] >> SHIFT, np.repeat(batch.column("id").to_numpy(), n)[low]
 
+    def gather(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, at = shingles(*flat(batch.column("text")), size)
+        n = np.diff(at)
+        repeated = batch.column("again").to_numpy() / np.maximum(1, np.minimum(n, low_count(n, percent)))
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(repeated), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64)))], ["node", "n", "repeated", "tokens"])
+
     counts = repeated_keys(firsts, lowest, distinct_ids=True, counts=True, flush_bytes=FLUSH).select("id", F.col("n").alias("again"))
     some = F.expr(f"n - cast(ceil({percent} * n / 100.0) AS long)")
-    able = stage(counts.join(named.where("id = node"), "id").where(F.col("again") > some).select("id").distinct(), "able")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE):
-                tokens, at = shingles(*flat(batch.column("text")), size)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64)))], ["node", "tokens"])
-
-    sets = rows.join(sized(able, able.count(), 16), "id", "left_semi").mapInArrow(gather, "node long, tokens array<long>")
-    sets = sets.where(F.size("tokens") > 0)
-    if not named.groupBy("id").count().where("count > 1").isEmpty():  # rows that share an id
-        sets = sets.dropDuplicates(["node", "tokens"])
-    sets = stage(sets, "able-sets")
-
-    # first links: stars on the lowest shingles
-    signs = sets.select("node", F.explode(F.slice("tokens", 1, SIGNS)).alias("token"))
-    centres = signs.groupBy("token").agg(F.min("node").alias("centre"), F.count("*").alias("held")).where("held > 1")
-    stars = signs.join(centres, "token").where("node <> centre").select("node", "centre").distinct()
-    stars = stage(stars.withColumn("block", F.pmod(F.hash("node"), F.lit(1 << 20))), "stars")
-    width = stars.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    stars = stars.join(width, "centre").withColumn("block", F.pmod("block", F.col("blocks")))
-    members = stars.join(sets, "node").select(F.col("centre").alias("group"), "block", F.lit(0).alias("side"), "node", "tokens")
-    queries = stars.select(F.col("centre").alias("node"), "block").distinct().join(sets, "node").select(F.col("node").alias("group"), "block", F.lit(1).alias("side"), "node", "tokens")
-    edges = stage(_joined(members.unionByName(queries), percent), "first-links")
-    nodes = stage(_classes(sets.select("node").distinct(), edges), "first-classes")
-
-    # all others: shingles that stand early in the global order and join different classes
-    early = _early(sets, percent).join(nodes, "node")
+    able = stage(counts.join(named.where("id = node"), "id").where(F.col("again") > some).select("id", "again"), "able")
+    sets = rows.join(sized(able, able.count(), 24), "id").select("id", "text", "again").mapInArrow(lambda it: by_slice(it, "text", SLICE, gather), "node long, n long, repeated double, tokens array<long>")
+    return stage(sets.where("n > 0"), "able-sets")
+
+
+def _dealt(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Tiles (group, tile, side, node, tokens) of `pairs` (group, node, side): each side's sets in as many blocks as
+    their shingles need, each block of one side with each block of the other."""
+    pairs = pairs.join(sets.select("node", "n"), "node")
+    blocks = lambda side: F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0)) / TILE)).cast("int")
+    width = pairs.groupBy("group").agg(blocks(0).alias("blocks"), blocks(1).alias("turns"))
+    own = lambda of: F.pmod(F.hash("node", F.lit(of)), F.col(of))
+    tiles = pairs.join(width, "group").withColumn(
+        "tile",
+        F.explode(F.when(F.col("side") == 0, F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda t: own("blocks") * F.col("turns") + t)).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b * F.col("turns") + own("turns")))),
+    )
+    return tiles.select("group", "tile", "side", "node").join(sets.select("node", "tokens"), "node")
+
+
+def _stars(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of the links between centres and others, and (node, centre, alike) of all that are alike."""
+    signs = sets.select("node", "repeated", F.explode(F.slice("tokens", 1, SIGNS)).alias("token"))
+    best = F.max(F.struct("repeated", (-F.col("node")).alias("minus")))
+    centres = signs.groupBy("token").agg((-best["minus"]).alias("group"), F.count("*").alias("held")).where("held > 1").drop("held")
+    stars = stage(signs.join(centres, "token").where("node <> group").select("group", "node").distinct(), "stars")
+    pairs = stars.withColumn("side", F.lit(0)).unionByName(stars.select("group", F.col("group").alias("node")).distinct().withColumn("side", F.lit(1)))
+    near = stage(_tiles(_dealt(pairs, sets), percent, min(ALIKE, percent - 1)), "alike")
+    return near.where(f"100 * alike >= {percent} - 1e-9").select("a", "b"), near.select(F.col("b").alias("node"), F.col("a").alias("centre"), "alike")
+
+
+def _clusters(sets: DataFrame, edges: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, class, cluster): classes by the first links; clusters by the most alike centre, and by that one's."""
+    best = F.max(F.struct("alike", (-F.col("centre")).alias("minus")))
+    up = stage(near.groupBy("node").agg((-best["minus"]).alias("cluster")), "nearest")
+    for _ in range(2):
+        above = up.select(F.col("node").alias("cluster"), F.col("cluster").alias("above"))
+        up = stage(up.join(above, "cluster", "left").select("node", F.coalesce("above", "cluster").alias("cluster")), "nearest")
+    nodes = sets.select("node").join(components(edges), "node", "left").join(up, "node", "left")
+    return stage(nodes.select("node", F.coalesce("label", "node").alias("class"), F.coalesce("cluster", "node").alias("cluster")), "nodes")
+
+
+def _other_links(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that join the nodes of different first classes which link."""
+    tokens = sets.select("node", F.explode("tokens").alias("token"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    lists = tokens.join(held, "token").groupBy("node").agg(F.collect_list(F.struct("held", "token")).alias("often"))
+    # a set's shingles that no other has come first
+    first = F.expr(f"slice(array_sort(often), 1, cast(greatest(0, n - ceil({percent} * n / 100.0) + 1 - (n - size(often))) AS int))")
+    early = lists.join(sets.select("node", "n"), "node").join(nodes, "node").select("node", "class", "cluster", F.explode(first["token"]).alias("token"))
+    early = stage(early, "early")
     mixed = early.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("token")
-    early = stage(early.join(mixed, "token").select("token", "node", "n", "class").distinct(), "early")
-    weight = nodes.groupBy("class").agg(F.count("*").alias("members"))
-    held = early.select("token", "class").distinct().join(weight, "class")
-    asks = early.join(weight, "class").select("token", "node", "n", F.col("class").alias("own"), F.col("members").alias("own_members"))
-    # the smaller class asks the larger one
-    asks = asks.join(held, "token").where((F.col("class") != F.col("own")) & ((F.col("own_members") < F.col("members")) | (F.col("own_members") == F.col("members")) & (F.col("own") > F.col("class"))))
-    asks = asks.groupBy("node", "n", "class", "members").agg(F.count("*").alias("shared")).where(f"shared >= {_shared_early('n', percent)}")
-    asks = stage(asks.select("node", "class", "members").distinct(), "asks")
-    asked = asks.groupBy("class").agg(F.ceil(F.first("members") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / ASKS).cast("int").alias("turns"))
-    deal = lambda own, of: F.pmod(F.hash(own, F.lit(of)), F.col(of))
-    place = (F.col("b") * F.col("turns") + F.col("t")).alias("block")
-    members = nodes.join(asked, "class").withColumn("b", deal("node", "blocks")).withColumn("t", F.explode(F.expr("sequence(0, turns - 1)")))
-    members = members.join(sets, "node").select(F.col("class").alias("group"), place, F.lit(0).alias("side"), "node", "tokens")
-    queries = asks.join(asked, "class").withColumn("t", deal("node", "turns")).withColumn("b", F.explode(F.expr("sequence(0, blocks - 1)")))
-    queries = queries.join(sets, "node").select(F.col("class").alias("group"), place, F.lit(1).alias("side"), "node", "tokens")
-    more = stage(_joined(members.unionByName(queries), percent), "other-links")
-    joined = nodes.select(F.col("node").alias("a"), F.col("class").alias("b"))
-    labels = stage(components(joined.unionByName(more)), "classes")
-
-    # back to all rows
-    named = named.join(sized(labels, labels.count(), 24), "node", "left").select("id", "n", F.coalesce("label", "node").alias("component_id"))
-    rest = measured.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    return named.unionByName(rest).select("id", F.col("n").alias("n_shingles"), "component_id")
-
-
-def _early(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n): each set's first shingles in the global order.  Common ones are those that many sets have among
-    their lowest; whichever they are, the order is one for all sets."""
-    sets = sets.withColumn("n", F.size("tokens").cast("long")).withColumn("k", F.expr(f"cast({_early_count('n', percent)} AS int)"))
-    lowest = sets.select("node", F.explode(F.expr("slice(tokens, 1, k)")).alias("token"))
-    common = stage(lowest.groupBy("token").agg(F.count("*").alias("held")).where(f"held > {COMMON}").select("token"), "common")
-    rows = common.count()
-    if not rows:
-        return sets.select(F.explode(F.expr("slice(tokens, 1, k)")).alias("token"), "node", "n")
-    # a set with a common shingle among its lowest reaches further, past all that it has
-    marked = sets.select("node", F.explode("tokens").alias("token")).join(sized(common, rows, 16), "token")
-    marks = marked.groupBy("node").agg(F.collect_list("token").alias("often"))
-    marks = stage(marks, "marks")
-    own = sets.join(marks, "node", "left").withColumn("rest", F.expr("if(often IS NULL, tokens, array_except(tokens, often))"))
-    first = F.expr("if(size(rest) >= k, slice(rest, 1, k), concat(rest, slice(array_sort(often), 1, k - size(rest))))")
-    return stage(own.select(F.explode(first).alias("token"), "node", "n"), "prefixes")
+    early = stage(early.join(mixed, "token"), "mixed")
+    within = nodes.groupBy("cluster", "class").agg(F.count("*").alias("n"))
+    weight = within.groupBy("cluster").agg(F.sum("n").alias("members"), F.max(F.struct("n", "class"))["class"].alias("main"))
+    there = early.groupBy("token", "cluster").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).join(weight, "cluster")
+    there = there.select("token", F.col("cluster").alias("group"), "lo", "hi", "members", "main")
+    own = early.join(weight.select("cluster", F.col("members").alias("own_members")), "cluster")
+    asks = own.join(there, "token").where((F.col("lo") != F.col("class")) | (F.col("hi") != F.col("class")))
+    larger = (F.col("own_members") < F.col("members")) | (F.col("own_members") == F.col("members")) & (F.col("cluster") > F.col("group"))
+    asks = asks.where(F.when(F.col("cluster") == F.col("group"), F.col("class") != F.col("main")).otherwise(larger))
+    asks = stage(asks.select("group", "node").distinct(), "asks")
+    members = early.select(F.col("cluster").alias("group"), "node").distinct().join(asks.select("group").distinct(), "group", "left_semi")
+    pairs = members.withColumn("side", F.lit(0)).unionByName(asks.withColumn("side", F.lit(1)))
+    return stage(_tiles(_dealt(stage(pairs, "pairs"), sets), percent, percent), "other-links").select("a", "b")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
