@@ -15,7 +15,7 @@ def test_policy(spark):
 
 
 ROBOTS = """# x
-User-agent: Crawler
+User-agent: Webloom
 Disallow: /a/
 Allow: /a/b
 Disallow:
@@ -30,7 +30,7 @@ Sitemap: https://h/s.xml
 """
 
 
-@pytest.mark.parametrize("agent", ["crawler/1.0", "other", "z/2"])
+@pytest.mark.parametrize("agent", ["webloom/1.0", "other", "z/2"])
 def test_robots_agree_with_the_standard_library(spark, agent):
     theirs = urllib.robotparser.RobotFileParser()
     theirs.parse(ROBOTS.splitlines())

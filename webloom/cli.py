@@ -20,7 +20,7 @@ def _crawl_arguments(p: argparse.ArgumentParser) -> None:
     p.add_argument("start_url")
     for name, kind, default in (("max-depth", int, 2), ("max-pages", int, 100), ("timeout", float, 10), ("max-bytes", int, 2_000_000), ("crawl-delay", float, 0.0), ("retries", int, 1), ("retry-backoff", float, 0.5), ("max-workers", int, 4), ("per-host-workers", int, 2), ("request-budget", int, None), ("recrawl-after-seconds", int, 86_400), ("max-query-params", int, 15), ("max-path-repeats", int, 4)):
         p.add_argument(f"--{name}", type=kind, default=default)
-    p.add_argument("--user-agent", default="crawler/1.0")
+    p.add_argument("--user-agent", default="webloom/1.0")
     for name in ("allow-external", "all-domains", "allow-subdomains", "include-sitemap", "render-js", "agent-discovery"):
         p.add_argument(f"--{name}", action="store_true")
     p.add_argument("--respect-robots", action=argparse.BooleanOptionalAction, default=True)

@@ -12,7 +12,7 @@ class Options:
     max_pages: int = 100
     same_domain: bool = True
     allow_subdomains: bool = False
-    user_agent: str = "crawler/1.0"
+    user_agent: str = "webloom/1.0"
     timeout: float = 10
     max_bytes: int = 2_000_000
     respect_robots: bool = True

@@ -59,7 +59,7 @@ def robots_filter(spark: SparkSession, d: str) -> DataFrame:
     body = F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /en/1\nDisallow: /en/\nDisallow: /de/2\nCrawl-delay: 2\n")
     hosts = pages.select(urls.authority(F.col("url")).alias("netloc")).distinct()
     answers = hosts.select("netloc", F.when(F.col("netloc").startswith("m."), 403).otherwise(200).alias("status"), body.alias("body"), F.col("netloc").startswith("blog.").alias("failed"))
-    return policy.allowed_by_robots(pages, policy.robots_table(answers), "crawler/1.0").select("page_id", "robots_ok")
+    return policy.allowed_by_robots(pages, policy.robots_table(answers), "webloom/1.0").select("page_id", "robots_ok")
 
 
 def politeness_schedule(spark: SparkSession, d: str) -> DataFrame:

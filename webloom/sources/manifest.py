@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from webloom.functions.urls import source_identity, source_key
+from webloom.functions.urls import source_identity
 
 MAX_SOURCES = 25
+#: Fields of a manifest and of a source, and whether each must be there.
+MANIFEST = {"schema_version": True, "sources": True}
+SOURCE = {"id": True, "url": True, "label": False}
 _ID = re.compile(r"[a-zA-Z0-9][a-zA-Z0-9_-]{0,63}")
 
 
@@ -23,35 +28,46 @@ class Source:
     label: str = ""
 
 
+def faults_of(id: object, url: object, label: object) -> tuple[str | None, list[str]]:
+    """(resource, faults) of one source, whether it stands in a file or in a table; no resource where the URL is at fault."""
+    said = []
+    if not (isinstance(id, str) and _ID.fullmatch(id)):
+        said.append("id: 1 to 64 letters, digits, underscores or hyphens, of which the first is a letter or digit")
+    if not (isinstance(label, str) and len(label) <= 200):
+        said.append("label: a string of 200 characters at most")
+    try:
+        return source_identity(url), said
+    except ValueError as error:
+        return None, [*said, f"url: {error}"]
+
+
+def _fields(value: object, known: dict[str, bool], what: str) -> dict:
+    """The value, if it is an object with all the fields that must be there and no unknown one."""
+    held = set(value) if isinstance(value, dict) else {None}
+    if held - set(known) or {k for k, must in known.items() if must} - held:
+        raise ValueError(f"{what} is an object of {', '.join(known)}")
+    return value
+
+
 def validated(sources: list[Source]) -> list[Source]:
     """The sources under their identities; raises ValueError for what may not be monitored."""
-    if not 0 < len(sources) <= MAX_SOURCES:
+    if len(sources) not in range(1, MAX_SOURCES + 1):
         raise ValueError(f"a manifest has 1 to {MAX_SOURCES} sources")
-    out: dict[str, Source] = {}
-    for s in sources:
-        if not isinstance(s, Source) or not isinstance(s.id, str) or not _ID.fullmatch(s.id):
-            raise ValueError("a source id has 1 to 64 letters, digits, underscores or hyphens, and begins with none of the last two")
-        if not isinstance(s.label, str) or len(s.label) > 200:
-            raise ValueError("a label is a string of 200 characters at most")
-        one = Source(s.id, source_identity(s.url), s.label)
-        if one.id in out or any(x.url == one.url for x in out.values()):
-            raise ValueError("ids and resources of sources are unique")
-        out[one.id] = one
-    return list(out.values())
+    judged = [(s, *faults_of(s.id, s.url, s.label)) if isinstance(s, Source) else (s, None, ["not a source"]) for s in sources]
+    said = [fault for _, _, faults in judged for fault in faults]
+    said += [f"{name} is not unique" for name, of in (("id", lambda j: j[0].id), ("url", lambda j: j[1])) if not said and len(set(map(of, judged))) < len(judged)]
+    if said:
+        raise ValueError(said[0])
+    return [replace(s, url=url) for s, url, _ in judged]
 
 
 def load(path: str | Path) -> list[Source]:
-    data = json.loads(Path(path).read_text(encoding="utf-8"))
-    if not isinstance(data, dict) or sorted(data) != ["schema_version", "sources"]:
-        raise ValueError("a manifest has schema_version and sources, and nothing else")
-    if type(data["schema_version"]) is not int or data["schema_version"] != 1:
-        raise ValueError("the schema_version is not supported")
+    data = _fields(json.loads(Path(path).read_text(encoding="utf-8")), MANIFEST, "a manifest")
+    if data["schema_version"] is True or data["schema_version"] != 1 or isinstance(data["schema_version"], float):
+        raise ValueError("schema_version: only 1 is read")
     if not isinstance(data["sources"], list):
-        raise ValueError("sources is a list")
-    for item in data["sources"]:
-        if not isinstance(item, dict) or not {"id", "url"} <= item.keys() or item.keys() - {"id", "url", "label"}:
-            raise ValueError("a source has id and url, perhaps a label, and nothing else")
-    return validated([Source(**{"label": "", **item}) for item in data["sources"]])
+        raise ValueError("sources: a list")
+    return validated([Source(**_fields(item, SOURCE, "a source")) for item in data["sources"]])
 
 
 def frame(spark: SparkSession, sources: list[Source]) -> DataFrame:
@@ -60,11 +76,16 @@ def frame(spark: SparkSession, sources: list[Source]) -> DataFrame:
     return rows.withColumn("label", F.when(F.col("label") == "", F.col("id")).otherwise(F.col("label")))
 
 
+@F.pandas_udf(T.StructType([T.StructField("url", T.StringType()), T.StructField("faults", T.ArrayType(T.StringType()))]))
+def _judged(id: pd.Series, url: pd.Series, label: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([faults_of(*x) for x in zip(id, url, label, strict=True)], columns=["url", "faults"])
+
+
 def faults(sources: DataFrame) -> DataFrame:
-    """(id, fault) of a manifest of any size held as a table (id, url, label)."""
-    rows = sources.withColumn("key", source_key("url"))
-    bad_id = rows.where(~F.coalesce(F.col("id").rlike("^[a-zA-Z0-9][a-zA-Z0-9_-]{0,63}$"), F.lit(False))).select("id", F.lit("id").alias("fault"))
-    bad_label = rows.where(F.length("label") > 200).select("id", F.lit("label").alias("fault"))
-    bad_url = rows.where(F.col("key.error").isNotNull()).select("id", F.concat(F.lit("url: "), "key.error").alias("fault"))
-    again = lambda c, name: rows.where(c.isNotNull()).groupBy(c.alias("k")).agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1").select("id", F.lit(f"{name} is not unique").alias("fault"))
-    return bad_id.unionByName(bad_label).unionByName(bad_url).unionByName(again(F.col("id"), "id")).unionByName(again(F.col("key.url"), "url"))
+    """(id, fault) of a manifest of any size held as a table (id, url, label); a null label is none."""
+    rows = sources.select("id", _judged("id", "url", F.coalesce("label", F.lit(""))).alias("j"))
+    own = rows.select("id", F.explode("j.faults").alias("fault"))
+    for name, key in (("id", F.col("id")), ("url", F.col("j.url"))):
+        again = rows.where(key.isNotNull()).groupBy(key.alias("k")).agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1")
+        own = own.unionByName(again.select("id", F.lit(f"{name} is not unique").alias("fault")))
+    return own
