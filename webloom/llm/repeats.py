@@ -147,11 +147,12 @@ def _gathered(batches: Iterator[pa.RecordBatch], flush: Callable, take: Callable
     release()
 
 
-ANCHORS = "bucket int, kind int, id long, keys array<long>, h binary, d binary, ids binary"
+ANCHORS = "bucket int, kind int, to int, h binary, d binary, ids binary"
 _ANCHOR_NAMES = [x.split()[0] for x in ANCHORS.split(", ")]
+_ANCHOR_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def _send(held: list, n: int, distinct_ids: bool, counts: bool) -> Iterator[pa.RecordBatch]:
+def _send(held: list, n: int, back: int, distinct_ids: bool, counts: bool) -> Iterator[pa.RecordBatch]:
     """One batch's (key, id) to ranges of keys: one entry a key; what already comes again here goes back as it is."""
     keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((ids, keys))
@@ -162,41 +163,44 @@ def _send(held: list, n: int, distinct_ids: bool, counts: bool) -> Iterator[pa.R
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(keys)))
     several = np.repeat(sizes > 1, sizes)
-    own_ids, own = _returned(ids[several], keys[several], counts)
-    nothing = pa.nulls(len(own_ids), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array((mix(own_ids.astype(np.uint64)) % np.uint64(n)).astype(np.int32)), pa.array(np.ones(len(own_ids), np.int32)), pa.array(own_ids), own, nothing, nothing, nothing], _ANCHOR_NAMES)
+    rows = [(to % n, 1, to, h, None, i) for to, h, i in _returned(ids[several], keys[several], back, counts)]
     # one entry a key: number of its document in a table, or 0 if it is known to come again
     keys, single, ids = keys[first], sizes == 1, ids[first]
     bounds = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
-    rows = []
-    for b in range(n):
+    for b in np.flatnonzero(np.diff(bounds)).tolist():
         lo, hi = bounds[b], bounds[b + 1]
-        if lo < hi:
-            known, number = np.unique(ids[lo:hi][single[lo:hi]], return_inverse=True)
-            d = np.zeros(hi - lo, np.int64)
-            d[single[lo:hi]] = number + 1
-            rows.append((b, 0, None, None, pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), pack(d), pack(np.diff(known, prepend=0))))
-    columns = list(zip(*rows, strict=True)) or [[]] * 7
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _ANCHOR_NAMES)
-
-
-def _returned(ids: np.ndarray, keys: np.ndarray, counts: bool) -> tuple[np.ndarray, pa.ListArray]:
-    """Keys by id, or only how many they are."""
+        known, number = np.unique(ids[lo:hi][single[lo:hi]], return_inverse=True)
+        d = np.zeros(hi - lo, np.int64)
+        d[single[lo:hi]] = number + 1
+        rows.append((b, 0, None, pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), pack(d), pack(np.diff(known, prepend=0))))
+    columns = list(zip(*rows, strict=True)) or [[]] * len(_ANCHOR_TYPES)
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ANCHOR_TYPES, strict=True)], _ANCHOR_NAMES)
+
+
+def _place(ids: np.ndarray, back: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) % np.uint64(back)).astype(np.int64)
+
+
+def _returned(ids: np.ndarray, keys: np.ndarray, back: int, counts: bool) -> list[tuple[int, bytes, bytes]]:
+    """(place, keys, ids): what goes back to the ids of a place, packed; of `counts`, how many keys an id has."""
     if counts:
-        known, n = np.unique(ids, return_counts=True)
-        return known, pa.ListArray.from_arrays(pa.array(np.arange(len(known) + 1, dtype=np.int32)), pa.array(n.astype(np.int64)))
-    lead, own = lists(ids, keys)
-    return ids[lead], own
+        ids, keys = np.unique(ids, return_counts=True)
+    place = _place(ids, back)
+    order = np.lexsort((keys, ids, place))
+    place, ids, keys = place[order], ids[order], keys[order].astype(np.uint64)
+    bounds = np.searchsorted(place, np.arange(back + 1))
+    return [(to, pack(keys[bounds[to] : bounds[to + 1]]), pack(np.diff(ids[bounds[to] : bounds[to + 1]], prepend=0))) for to in np.flatnonzero(np.diff(bounds)).tolist()]
 
 
 def repeated_keys(rows: DataFrame, take: Callable, distinct_ids: bool, counts: bool = False, flush_bytes: int = FLUSH) -> DataFrame:
     """(id, keys): which of the 44-bit keys that `take` finds in a batch with columns id and text come again, with
-    another id or at all; with `counts`, (id, n): how many of them."""
-    n = 4 * partitions(rows.sparkSession)
+    another id or at all; with `counts`, (id, n): how many of them.  What goes out to a range of keys and what comes back
+    from it to a part of the ids is one packed row each."""
+    back = partitions(rows.sparkSession)
+    n = 4 * back
 
     def meet(table: pa.Table) -> pa.Table:
-        own = table.filter(pa.compute.equal(table["kind"], 1)).select(["id", "keys"])
+        own = table.filter(pa.compute.equal(table["kind"], 1)).select(["to", "h", "ids"])
         sent = table.filter(pa.compute.equal(table["kind"], 0))
         keys, ids, known = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for h, d, i in zip(sent["h"].to_pylist(), sent["d"].to_pylist(), sent["ids"].to_pylist(), strict=True):
@@ -212,12 +216,23 @@ def repeated_keys(rows: DataFrame, take: Callable, distinct_ids: bool, counts: b
         again[1:] |= same
         again[:-1] |= same
         again &= ~known
-        found, own_keys = _returned(ids[again], keys[again], counts)
-        return pa.concat_tables([own, pa.table({"id": pa.array(found), "keys": own_keys}, own.schema)])
+        found = _returned(ids[again], keys[again], back, counts)
+        columns = list(zip(*found, strict=True)) or [[]] * 3
+        release()
+        return pa.concat_tables([own, pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, own.schema.types, strict=True)], schema=own.schema)])
 
-    sent = rows.mapInArrow(lambda it: _gathered(it, lambda held: _send(held, n, distinct_ids, counts), take, flush_bytes), ANCHORS)
-    met = sent.groupBy("bucket").applyInArrow(meet, "id long, keys array<long>")
-    return met.groupBy("id").agg(F.sum(F.col("keys")[0]).alias("n") if counts else F.flatten(F.collect_list("keys")).alias("keys"))
+    def gather(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([unpack(x, np.uint64) for x in table["h"].to_pylist()])
+        ids = np.concatenate([np.cumsum(unpack(x)) for x in table["ids"].to_pylist()])
+        if counts:
+            known, number = np.unique(ids, return_inverse=True)
+            return pa.table({"id": pa.array(known), "n": pa.array(np.bincount(number, keys.astype(np.int64), len(known)).astype(np.int64))})
+        lead, own = lists(ids, keys)
+        return pa.table({"id": pa.array(ids[lead]), "keys": own})
+
+    sent = rows.mapInArrow(lambda it: _gathered(it, lambda held: _send(held, n, back, distinct_ids, counts), take, flush_bytes), ANCHORS)
+    met = sent.groupBy("bucket").applyInArrow(meet, "to int, h binary, ids binary")
+    return met.groupBy("to").applyInArrow(gather, "id long, n long" if counts else "id long, keys array<long>")
 
 
 def repeated(firsts: DataFrame, shape: Shape) -> DataFrame:
@@ -230,9 +245,10 @@ def repeated(firsts: DataFrame, shape: Shape) -> DataFrame:
     return repeated_keys(firsts.select("id", "text"), take, not shape.anywhere)
 
 
-RUNS = "bucket int, kind int, id long, k2 int, spans array<long>, body binary, sizes binary, weight binary, number binary, ids binary, k2s binary, begins binary"
+RUNS = "bucket int, kind int, to int, body binary, sizes binary, weight binary, number binary, ids binary, k2s binary, begins binary, ends binary"
 _RUN_NAMES = [x.split()[0] for x in RUNS.split(", ")]
-_RUN_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 7]
+_RUN_TYPES = [*[pa.int32()] * 3, *[pa.binary()] * 8]
+_SPANS = ["to", "ids", "k2s", "begins", "ends"]
 
 
 def spans_table(ids: np.ndarray, k2s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
@@ -244,6 +260,14 @@ def spans_table(ids: np.ndarray, k2s: np.ndarray, starts: np.ndarray, ends: np.n
     return i[first], k[first], pa.ListArray.from_arrays(pa.array((2 * np.append(first, len(i))).astype(np.int32)), pa.array(both.astype(np.int64)))
 
 
+def _spans_back(ids: np.ndarray, k2s: np.ndarray, starts: np.ndarray, ends: np.ndarray, back: int) -> list[tuple]:
+    """(place, ids, second keys, starts, ends): spans packed for each place that has some."""
+    place = _place(ids, back)
+    order = np.lexsort((starts, k2s, ids, place))
+    bounds = np.searchsorted(place[order], np.arange(back + 1))
+    return [(to, *(pack(x[order[bounds[to] : bounds[to + 1]]].astype(np.int64)) for x in (ids, k2s, starts, ends))) for to in np.flatnonzero(np.diff(bounds)).tolist()]
+
+
 def _grouped(values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by value and id; for each element in that order the number of its group; the groups' first elements."""
     order = np.lexsort((ids, values))
@@ -264,7 +288,8 @@ def split_known(shape: Shape, hashes: np.ndarray, ids: np.ndarray, weights: np.n
 
 def candidates(rows: DataFrame, shape: Shape) -> DataFrame:
     """Rows (id, k2, text, keys) to packed runs, dealt by the minimiser; decided runs come as spans of their row."""
-    n = 4 * partitions(rows.sparkSession)
+    back = partitions(rows.sparkSession)
+    n = 4 * back
 
     def take(batch: pa.RecordBatch):
         e = Elements.of(batch.column("text"), shape)
@@ -285,16 +310,14 @@ def candidates(rows: DataFrame, shape: Shape) -> DataFrame:
         hashes, least, ids, k2s, begins, lengths, sizes, body = (np.concatenate(x) for x in zip(*held, strict=True))
         order, group, first, weight, decided = split_known(shape, hashes, ids, np.ones(len(ids)))
         ids, k2s, begins, lengths = ids[order], k2s[order], begins[order], lengths[order]
-        i, k, spans = spans_table(ids[decided], k2s[decided], begins[decided], (begins + lengths)[decided])
-        empty = [pa.nulls(len(i), pa.binary())] * 7
-        yield pa.RecordBatch.from_arrays([pa.array((mix(i.astype(np.uint64)) % np.uint64(n)).astype(np.int32)), pa.array(np.ones(len(i), np.int32)), pa.array(i), pa.array(k.astype(np.int32)), spans, *empty], _RUN_NAMES)
+        known = _spans_back(ids[decided], k2s[decided], begins[decided], (begins + lengths)[decided], back)
+        rows = [(to % n, 1, to, *[None] * 4, *spans) for to, *spans in known]
         lead = order[first]
         bucket = bucket_of(mix(least[lead]) >> SHIFT, n)
         by = np.argsort(bucket, kind="stable")
         bounds = np.searchsorted(bucket[by], np.arange(n + 1))
         place = np.cumsum(sizes) - sizes
         open_, open_group = np.flatnonzero(~decided), group[~decided]  # occurrences that others may decide, by group
-        rows = []
         for b in range(n):
             g = np.sort(by[bounds[b] : bounds[b + 1]])
             if not len(g):
@@ -303,7 +326,7 @@ def candidates(rows: DataFrame, shape: Shape) -> DataFrame:
             lo, hi = np.searchsorted(open_group, g), np.searchsorted(open_group, g, "right")
             o = open_[ragged(lo, hi - lo)]
             number = np.repeat(np.arange(len(g)), hi - lo)
-            rows.append((b, 0, None, None, None, zstandard.ZstdCompressor(level=3).compress(text), pack(sizes[lead[g]]), pack(weight[g]), pack(number), pack(ids[o]), pack(k2s[o]), pack(begins[o])))
+            rows.append((b, 0, None, zstandard.ZstdCompressor(level=3).compress(text), pack(sizes[lead[g]]), pack(weight[g]), pack(number), pack(ids[o]), pack(k2s[o]), pack(begins[o]), None))
         columns = list(zip(*rows, strict=True)) or [[]] * len(_RUN_TYPES)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _RUN_TYPES, strict=True)], _RUN_NAMES)
 
@@ -316,9 +339,10 @@ Decide = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 def settle(runs: DataFrame, shape: Shape, decide: Decide) -> DataFrame:
     """(id, k2, spans): `decide(values, at, owner, weight)` says of each element of the distinct runs of a task whether
     the window that starts there comes again; spans count elements."""
+    places = partitions(runs.sparkSession)
 
     def meet(table: pa.Table) -> pa.Table:
-        own = table.filter(pa.compute.equal(table["kind"], 1)).select(["id", "k2", "spans"])
+        own = table.filter(pa.compute.equal(table["kind"], 1)).select(_SPANS)
         sent = table.filter(pa.compute.equal(table["kind"], 0))
         if not sent.num_rows:
             return own
@@ -355,11 +379,16 @@ def settle(runs: DataFrame, shape: Shape, decide: Decide) -> DataFrame:
         pick, occ = ragged(a, z - a), np.repeat(np.flatnonzero(~decided), z - a)
         base = bounds[of[pick]]
         found.append((ids[occ], k2s[occ], begins[occ] + lo[pick] - base, begins[occ] + hi[pick] - base + shape.n - 1))
-        i, k, spans = spans_table(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        return pa.concat_tables([own, pa.table([pa.array(i), pa.array(k.astype(np.int32)), spans], own.schema.names).cast(own.schema)])
+        columns = list(zip(*_spans_back(*(np.concatenate(x) for x in zip(*found, strict=True)), places), strict=True)) or [[]] * len(_SPANS)
+        release()
+        return pa.concat_tables([own, pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, own.schema.types, strict=True)], schema=own.schema)])
+
+    def gather(table: pa.Table) -> pa.Table:
+        i, k, spans = spans_table(*(np.concatenate([unpack(x) for x in table[c].to_pylist()]) for c in _SPANS[1:]))
+        return pa.table({"id": pa.array(i), "k2": pa.array(k.astype(np.int32)), "spans": spans})
 
-    met = runs.groupBy("bucket").applyInArrow(meet, "id long, k2 int, spans array<long>")
-    return met.groupBy("id", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    met = runs.groupBy("bucket").applyInArrow(meet, "to int, ids binary, k2s binary, begins binary, ends binary")
+    return met.groupBy("to").applyInArrow(gather, "id long, k2 int, spans array<long>")
 
 
 def spans_of(rows: DataFrame, shape: Shape, decide: Decide) -> DataFrame:
