@@ -1,4 +1,5 @@
 import urllib.robotparser
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,8 +43,10 @@ def test_robots_agree_with_the_standard_library(spark, agent):
     assert {r.url: r.robots_ok for r in got} == {r.url: theirs.can_fetch(agent, r.url) for r in got}
 
 
-def test_robots_modes():
-    assert [policy.robots_mode(*x) for x in ((200, False), (403, False), (404, False), (503, False), (None, True))] == ["rules", "deny", "allow", "deny", "allow"]
+def test_robots_modes(spark):
+    cases = [(0, 200, False), (1, 403, False), (2, 404, False), (3, 503, False), (4, None, True), (5, 503, True), (6, None, None)]
+    rows = spark.createDataFrame(cases, "k int, status int, failed boolean").orderBy("k").select(policy.robots_mode(F.col("status"), F.col("failed"))).collect()
+    assert [r[0] for r in rows] == ["rules", "deny", "allow", "deny", "allow", "allow", "allow"]
 
 
 def test_planned_start(spark):
@@ -131,3 +134,26 @@ def test_states_keep_last_good(spark):
     rows = [(0, "A", "1", None), (1, "A", None, "HTTP 503"), (2, "A", "1", None), (3, "A", "2", None), (4, "B", "2", None), (5, "A", "2", None)]
     df = spark.createDataFrame([("s", r, u, monitor.NORMALIZATION, h, e) for r, u, h, e in rows], "id string, run long, url string, normalization string, sha256 string, error string")
     assert [r.state for r in monitor.states(df).orderBy("run").collect()] == ["baseline", "error", "unchanged", "changed", "baseline", "baseline"]
+
+
+def test_failure_window_takes_any_numbers(spark):
+    """Numbers with gaps and repeats, over many cells, against a plain loop; and never one task for all."""
+    seqs = [k * (1 if k % 3 else 10**6) for k in range(400)] + [7, 7]
+    rows = sorted((s, (s * 7919) % 5 > 1) for s in seqs)
+    want, size = Counter(), 20
+    for k, (s, _) in enumerate(rows):
+        last = [ok for _, ok in rows[max(0, k - size + 1) : k + 1]]
+        want[s, len(last), last.count(False)] += 1
+    frame = spark.createDataFrame(rows, "seq long, success boolean").repartition(3)
+    assert Counter(map(tuple, health.failure_window(frame, size, 50).collect())) == want
+    plan = health.failure_window(frame.unionByName(spark.range(10**9, 10**9 + 10**6, 5).selectExpr("id AS seq", "true AS success")))._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_health_details(spark):
+    rows = [(k, "a.b", k not in (3, 4, 5), 200 if k % 2 else None, 10) for k in range(6)] + [(6, "c", True, 200, 5)]
+    outcomes = spark.createDataFrame(rows, "seq long, domain string, success boolean, status int, elapsed_ms int").withColumn("bytes_read", F.lit(1))
+    got = health.details(outcomes)
+    assert (got["total_requests"], got["total_failures"], got["failure_rate"], got["healthy"]) == (7, 3, 0.4286, False)
+    assert got["alerts"] == ["Domain a.b has 3 consecutive failures"] and got["domain_stats"]["a.b"]["consecutive_failures"] == 3 and got["domain_stats"]["c"]["consecutive_failures"] == 0
+    assert health.details(outcomes.where("false"))["healthy"]

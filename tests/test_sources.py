@@ -1,9 +1,15 @@
 import ipaddress
 import json
+import os
+import sys
+import time
+from collections import Counter
 
 import pytest
+from pyspark import cloudpickle
 
 from webloom import cli
+from webloom.operators.health import Adaptive, Breaker
 from webloom.options import Options
 from webloom.plans.crawl import crawl
 from webloom.plans.monitor_run import run_monitor
@@ -12,6 +18,8 @@ from webloom.sources import http, manifest, sitemap, state
 from webloom.sources.manifest import Source
 from webloom.sources.store import Store, write_atomic
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks get this module's fetchers whole
+
 def site():
     """A fetcher that goes to tasks by value."""
     pages = {
@@ -58,6 +66,81 @@ def test_crawl_command(spark, tmp_path):
     assert len(state.read_sqlite(out("s.db")).visited) == 4
 
 
+class Logged:
+    """Answers by url, a list of them in turn, and writes each request to a file, since tasks run elsewhere."""
+
+    def __init__(self, path, pages):
+        self.path, self.pages = str(path), pages
+
+    def __call__(self, url, *, headers, timeout, max_bytes):
+        sent = self.requests()
+        with open(self.path, "a") as f:
+            f.write(json.dumps([url, headers, time.time()]) + "\n")
+        answer = self.pages.get(url, http.FetchError("HTTP Error 404: Not Found", 404))
+        answer = answer[min(len(answer) - 1, sum(u == url for u, *_ in sent))] if isinstance(answer, list) else answer
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    def requests(self):
+        return [json.loads(x) for x in open(self.path)] if os.path.exists(self.path) else []
+
+
+def html_page(*links, **headers):
+    return http.Response(200, {"content-type": "text/html", **headers}, "".join(f"<a href='{x}'></a>" for x in links).encode())
+
+
+BUSY = http.FetchError("HTTP Error 503: Service Unavailable", 503)
+
+
+def test_crawl_retries(spark, tmp_path):
+    """Own retries take any error, waiting longer each time; an adaptive policy leaves a 404 and takes a 503."""
+    web = Logged(tmp_path / "a", {"https://h/": [OSError("boom"), BUSY, html_page()]})
+    done = crawl(spark, Options("https://h/", retries=2, retry_backoff=0.2, respect_robots=False), web)
+    times = [t for *_, t in web.requests()]
+    assert done.results.first().status == 200 and len(times) == 3 and times[1] - times[0] >= 0.2 and times[2] - times[1] >= 0.4
+    assert done.outcomes.first().attempts == 3 and done.health()["total_requests"] == 1
+    gone = Logged(tmp_path / "b", {})
+    assert crawl(spark, Options("https://h/", respect_robots=False), gone, retry=Adaptive(3, jitter=False)).results.first().error and len(gone.requests()) == 1
+    busy = Logged(tmp_path / "c", {"https://h/": [BUSY, html_page()]})
+    assert crawl(spark, Options("https://h/", respect_robots=False), busy, retry=Adaptive(2, 0.0, jitter=False)).results.first().status == 200 and len(busy.requests()) == 2
+
+
+def test_crawl_health_and_circuits(spark, tmp_path):
+    o = Options("https://h/", retries=0, respect_robots=False, max_depth=1)
+    web = Logged(tmp_path / "a", {"https://h/": html_page(*(f"/{k}" for k in range(5)))})
+    done = crawl(spark, o, web, breaker=Breaker(limit=3, timeout=600))
+    errors = Counter(r.error for r in done.results.collect())
+    assert errors == {None: 1, "HTTP Error 404: Not Found": 3, http.OPEN: 2} and len(web.requests()) == 4
+    status = done.health()
+    assert (status["total_requests"], status["total_failures"], status["healthy"]) == (4, 3, False)
+    assert status["alerts"] == ["Domain h has 3 consecutive failures"]
+    again = Logged(tmp_path / "b", {"https://h/": html_page()})
+    shut = crawl(spark, o, again, breaker=Breaker(limit=3, timeout=600), circuits=done.circuits)
+    assert shut.results.first().error == http.OPEN and again.requests() == [] and shut.health()["total_requests"] == 0
+
+
+def test_crawl_conditional(spark, tmp_path):
+    o = Options("https://h/", respect_robots=False)
+    web = Logged(tmp_path / "a", {"https://h/": [html_page("/a", etag="e1"), http.Response(304, {}, b"")], "https://h/a": html_page(**{"last-modified": "Mon"})})
+    first = crawl(spark, o, web)
+    assert first.metrics().first().cache_conditional_sent == 0 and first.validators.count() == 2
+    second = crawl(spark, o, web, validators=first.validators)
+    row = second.results.first()
+    assert (row.status, row.from_cache_hint, row.links) == (304, True, []) and second.metrics().first().cache_conditional_sent == 1
+    assert web.requests()[-1][1] == {"If-None-Match": "e1"}
+
+
+def test_crawl_keeps_robots_delay_and_filters_sitemaps(spark, tmp_path):
+    robots = http.Response(200, {}, b"User-agent: *\nCrawl-delay: 1\nSitemap: https://h/s.xml\n")
+    maps = http.Response(200, {"content-type": "text/xml"}, "<x>{}</x>".format("".join(f"<loc>https://{x}</loc>" for x in ("aa.example/1", "h/z", "bb.example/2", "h/y"))).encode())
+    web = Logged(tmp_path / "a", {"https://h/robots.txt": robots, "https://h/s.xml": maps, **{f"https://h/{x}": html_page() for x in ("", "z", "y")}})
+    done = crawl(spark, Options("https://h/", include_sitemap=True, max_pages=3), web)
+    assert [r.url for r in done.results.orderBy("seq").collect()] == ["https://h/", "https://h/y", "https://h/z"]
+    times = [t for u, _, t in web.requests() if u[10:] in ("", "y", "z")]
+    assert len(times) == 3 and all(b - a >= 0.95 for a, b in zip(times[:-1], times[1:], strict=True))
+
+
 def test_state_is_tolerant(tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"queue": [["u", 1], ["x"], 3], "visited": ["v", 2], "results": [{"url": "u", "status": "no", "links": ["a", 1], "fetched_at": 3}, 7]}))
     s = state.read_json(tmp_path / "s.json")

@@ -5,6 +5,7 @@ Outcomes are rows (seq, ts, domain, success, status, elapsed_ms, bytes_read), or
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,10 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.session import numbered
+
 #: Statuses worth another try (fixed values).
 RETRYABLE = (429, 500, 502, 503, 504)
 #: Consecutive failures of a domain from which each count raises an alert.
 RUN_ALERT = 3
+#: Consecutive outcomes that one task of a sliding window takes.
+CELL = 100_000
 
 
 def domain_stats(outcomes: DataFrame) -> DataFrame:
@@ -34,22 +39,18 @@ def status_map(outcomes: DataFrame) -> DataFrame:
     return status_counts(outcomes).groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("status", "n"))).alias("counts"))
 
 
-def failure_window(outcomes: DataFrame, size: int = 20, cell: int = 100_000) -> DataFrame:
+def failure_window(outcomes: DataFrame, size: int = 20, cell: int = CELL) -> DataFrame:
     """(seq, n, failures): of each outcome and the size - 1 before it, over all domains.
 
-    The window is global, but looks back only size - 1 rows: rows are dealt by ranges of seq (cells of consecutive
-    numbers), and each cell also gets the last size - 1 rows before it, so no task holds all outcomes.  seq must be
-    dense enough that size rows lie within two cells; sparse numbers fall back to one window.
+    The window is global, but looks back only size - 1 rows.  Rows are dealt by ranges of seq, whatever its gaps, and
+    numbered within and across ranges; each range also gets the last size - 1 rows before it.  So no task holds all
+    outcomes.  Rows of one seq count in an order of their own.
     """
-    rows = outcomes.select("seq", "success").withColumn("cell", F.floor(F.col("seq") / cell))
-    sparse = rows.groupBy("cell").count().agg(F.min("count").alias("least"), F.max("cell") - F.min("cell") + 1 - F.count("*"), F.count("*")).first()
-    if sparse[0] is None or sparse[2] > 1 and (sparse[0] < size or sparse[1] > 0):
-        w = Window.orderBy("seq").rowsBetween(1 - size, 0)
-        return rows.select("seq", F.count("*").over(w).alias("n"), F.sum((~F.col("success")).cast("long")).over(w).alias("failures"))
-    tail = Window.partitionBy("cell").orderBy(F.desc("seq"))
-    ahead = rows.withColumn("turn", F.row_number().over(tail)).where(F.col("turn") < size).select("seq", "success", (F.col("cell") + 1).alias("cell"), F.lit(False).alias("own"))
-    w = Window.partitionBy("cell").orderBy("seq").rowsBetween(1 - size, 0)
-    both = rows.withColumn("own", F.lit(True)).unionByName(ahead)
+    cell = max(cell, size)
+    cells = numbered(outcomes.select("seq", "success"), "seq", "success", name="row").withColumn("cell", F.floor(F.col("row") / F.lit(cell)))
+    ahead = cells.where(F.col("row") % cell >= cell - size + 1).withColumns({"cell": F.col("cell") + 1, "own": F.lit(False)})
+    w = Window.partitionBy("cell").orderBy("row").rowsBetween(1 - size, 0)
+    both = cells.withColumn("own", F.lit(True)).unionByName(ahead)
     return both.select("seq", "own", F.count("*").over(w).alias("n"), F.sum((~F.col("success")).cast("long")).over(w).alias("failures")).where("own").drop("own")
 
 
@@ -73,13 +74,29 @@ def alerts(outcomes: DataFrame, threshold: float = 0.5, size: int = 20) -> DataF
 
 
 def snapshot(outcomes: DataFrame, threshold: float = 0.5, size: int = 20) -> DataFrame:
-    """One row: totals, failure_rate (0 without requests), domains_crawled, n_alerts, status."""
+    """One row: totals, failure_rate (4 places; 0 without requests), domains_crawled, n_alerts, status."""
     totals = outcomes.agg(F.count("*").alias("total_requests"), F.count_if(~F.col("success")).alias("total_failures"), F.count_distinct("domain").alias("domains_crawled"))
     raised = alerts(outcomes, threshold, size).agg(F.count("*").alias("n_alerts"))
     both = totals.join(F.broadcast(raised))  # one row each
     rate = F.coalesce(F.try_divide("total_failures", "total_requests"), F.lit(0.0))
     healthy = (rate < threshold) & (F.col("n_alerts") == 0)
-    return both.select("total_requests", "total_failures", rate.alias("failure_rate"), "domains_crawled", "n_alerts", F.when(healthy, "healthy").otherwise("degraded").alias("status"))
+    return both.select("total_requests", "total_failures", F.bround(rate, 4).alias("failure_rate"), "domains_crawled", "n_alerts", F.when(healthy, "healthy").otherwise("degraded").alias("status"))
+
+
+def details(outcomes: DataFrame, threshold: float = 0.5, size: int = 20, most: int = 1000) -> dict:
+    """The snapshot as a dictionary, with its first `most` alerts in order and each of the first `most` domains' counts."""
+    one = snapshot(outcomes, threshold, size).first().asDict()
+    raised = alerts(outcomes, threshold, size).orderBy("seq", "message").limit(most).collect()
+    last = failure_runs(outcomes).groupBy("domain").agg(F.max(F.struct("seq", "run")).alias("r"))
+    ended = outcomes.groupBy("domain").agg(F.max("seq").alias("last"))
+    runs = last.join(ended, "domain").select("domain", F.when(F.col("r.seq") == F.col("last"), F.col("r.run")).otherwise(0).alias("run"))
+    domains = domain_stats(outcomes).join(runs, "domain", "left").orderBy("domain").limit(most).collect()
+    return {
+        **{k: one[k] for k in ("total_requests", "total_failures", "failure_rate", "domains_crawled")},
+        "healthy": one["status"] == "healthy",
+        "alerts": [r.message for r in raised],
+        "domain_stats": {r.domain: {"requests": r.requests, "failures": r.failures, "consecutive_failures": r.run or 0} for r in domains},
+    }
 
 
 # --- circuit breaker ---
@@ -148,5 +165,37 @@ def backoff(attempt: Column, status: Column, base: float = 1.0, most: float = 60
     return delay * (0.5 + F.rand() * 0.5) if jitter else delay
 
 
+@dataclass(frozen=True)
+class Linear:
+    """A traversal's own retries: any error, a wait that grows by one step an attempt."""
+
+    retries: int = 1
+    step: float = 0.5
+
+    def again(self, attempt: int, status: int | None) -> bool:
+        return attempt <= self.retries
+
+    def wait(self, attempt: int, status: int | None) -> float:
+        return self.step * attempt
+
+
+@dataclass(frozen=True)
+class Adaptive:
+    """`should_retry` and `backoff` for one request at a time."""
+
+    retries: int = 3
+    base: float = 1.0
+    most: float = 60.0
+    limited: float = 5.0
+    jitter: bool = True
+
+    def again(self, attempt: int, status: int | None) -> bool:
+        return attempt <= self.retries and (status is None or status in RETRYABLE)
+
+    def wait(self, attempt: int, status: int | None) -> float:
+        delay = min(self.most, (self.limited if status == 429 else self.base) * 2 ** (attempt - 1))
+        return delay * random.uniform(0.5, 1.0) if self.jitter else delay
+
+
 def linear_backoff(attempt: Column, step: float = 0.5) -> Column:
     return attempt * F.lit(step)

@@ -93,13 +93,10 @@ def parse_robots(text: str) -> tuple[list[tuple[str, bool, str]], dict[str, floa
     return rules, delays, sitemaps
 
 
-def robots_mode(status: int | None, transport_error: bool) -> str:
+def robots_mode(status: Column, transport_error: Column) -> Column:
     """What a response for robots.txt means to a traversal: rules, allow or deny."""
-    if transport_error:
-        return "allow"
-    if status in (401, 403) or status is not None and status >= 500:
-        return "deny"
-    return "allow" if status is None or 400 <= status < 500 else "rules"
+    allow = F.coalesce(transport_error, F.lit(False)) | status.isNull()
+    return F.when(allow, "allow").when(status.isin(401, 403) | (status >= 500), "deny").when(status >= 400, "allow").otherwise("rules")
 
 
 _RULE = T.StructType([T.StructField("agent", T.StringType()), T.StructField("allow", T.BooleanType()), T.StructField("path", T.StringType())])
@@ -113,8 +110,7 @@ def robots_rules(text: pd.Series) -> pd.DataFrame:
 
 def robots_table(responses: DataFrame) -> DataFrame:
     """(netloc, status, body, failed) to one row of rules per authority."""
-    mode = F.udf(robots_mode, "string")
-    return responses.withColumn("r", robots_rules("body")).select("netloc", mode("status", "failed").alias("mode"), "r.rules", "r.delays", "r.sitemaps")
+    return responses.withColumn("r", robots_rules("body")).select("netloc", robots_mode(F.col("status"), F.col("failed")).alias("mode"), "r.rules", "r.delays", "r.sitemaps")
 
 
 def allowed_by_robots(pages: DataFrame, robots: DataFrame, agent: str, url_col: str = "url") -> DataFrame:
@@ -133,13 +129,19 @@ def allowed_by_robots(pages: DataFrame, robots: DataFrame, agent: str, url_col:
     return joined.withColumn("robots_ok", F.coalesce(verdict, F.lit(True))).drop("mode", "rules", "netloc")
 
 
-def planned_start(requests: DataFrame, delay: float, robots: DataFrame | None = None, agent: str = "*") -> DataFrame:
-    """`requests` (url, seq) with `start_s`: seconds by which politeness spaces the requests of one authority."""
+def with_delay(requests: DataFrame, delay: float, robots: DataFrame | None = None, agent: str = "*") -> DataFrame:
+    """`requests` (url) with `delay`: the seconds between requests of its authority, its own robots' or the given, the longer."""
     rows = requests.withColumn("netloc", urls.authority(F.col("url")))
     own: Column = F.lit(float(delay))
     if robots is not None:
         rows = rows.join(robots.select("netloc", "delays"), "netloc", "left")
         said = F.coalesce(F.try_element_at("delays", F.lit(agent.partition("/")[0].lower())), F.try_element_at("delays", F.lit("*")), F.lit(0.0))
-        own = F.greatest(F.lit(float(delay)), said)
+        own = F.greatest(own, said)
+    return rows.withColumn("delay", own).drop("netloc", "delays")
+
+
+def planned_start(requests: DataFrame, delay: float, robots: DataFrame | None = None, agent: str = "*") -> DataFrame:
+    """`requests` (url, seq) with `start_s`: seconds by which politeness spaces the requests of one authority."""
+    rows = with_delay(requests, delay, robots, agent).withColumn("netloc", urls.authority(F.col("url")))
     turn = F.row_number().over(Window.partitionBy("netloc").orderBy("seq")) - 1
-    return rows.withColumn("start_s", turn * own).drop("netloc", "delays")
+    return rows.withColumn("start_s", turn * F.col("delay")).drop("netloc", "delay")

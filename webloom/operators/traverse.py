@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from webloom.functions import urls
 from webloom.operators import inventory, policy
 from webloom.options import Options
-from webloom.session import kept
+from webloom.session import kept, numbered
 
 
 @dataclass
@@ -28,21 +28,6 @@ class Traversal:
     levels: list[int]
 
 
-def numbered(df: DataFrame, *order: str, begin: int = 0) -> DataFrame:
-    """`df` with seq: begin, begin + 1, ... in order.  Ranges are sorted in parallel and counted; only the counts of
-    the ranges come to the driver, so no task sees a whole level."""
-    spark = df.sparkSession
-    ranged = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = sorted((r[0], r[1]) for r in ranged.groupBy("__range").count().collect())
-    rows, at = [], begin
-    for key, n in counts:
-        rows.append((key, at))
-        at += n
-    starts = spark.createDataFrame(rows, "__range int, __at long")
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return ranged.withColumn("__turn", within).join(F.broadcast(starts), "__range").withColumn("seq", F.col("__at") + F.col("__turn")).drop("__range", "__turn", "__at")
-
-
 def traverse(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max_depth: int = 2, max_pages: int | None = 100, budget: int | None = None, allow: Callable | None = None, visited: DataFrame | None = None) -> Traversal:
     """Seeds (url, depth, seq), first one of a url wins, and edges (src, dst, pos).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import time
 from pathlib import Path
 from urllib.parse import quote
 
@@ -28,7 +29,7 @@ def rows_json(df: DataFrame) -> list[dict]:
 
 def crawl_report(crawl) -> dict:
     counts = crawl.metrics().first().asDict()
-    return {"metrics": counts, "pages": crawl.results.count(), "visited": crawl.visited.count()}
+    return {"metrics": counts, "pages": crawl.results.count(), "visited": crawl.visited.count(), "timestamp": time.time()}
 
 
 def inventory_json(results: DataFrame) -> dict:

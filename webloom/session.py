@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; set here only where the session leaves it unset."""
+    """The checkpoint folder that driver and executors share; where the session leaves it unset, a folder in the
+    warehouse, which they share too."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="webloom-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/webloom-shared")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def numbered(df: DataFrame, *order: str, begin: int = 0, name: str = "seq") -> DataFrame:
+    """`df` with a column `name`: begin, begin + 1, ... in order.  Ranges are sorted in parallel and counted; only the
+    counts of the ranges come to the driver, so no task sees a whole level."""
+    spark = df.sparkSession
+    ranged = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = sorted((r[0], r[1]) for r in ranged.groupBy("__range").count().collect())
+    rows, at = [], begin
+    for key, n in counts:
+        rows.append((key, at))
+        at += n
+    starts = spark.createDataFrame(rows, "__range int, __at long")
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranged.withColumn("__turn", within).join(F.broadcast(starts), "__range").withColumn(name, F.col("__at") + F.col("__turn")).drop("__range", "__turn", "__at")
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back: cuts lineage, survives lost executors, and runs the plan once."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
