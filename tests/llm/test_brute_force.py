@@ -263,6 +263,9 @@ def test_warc(spark, tmp_path):
     captures = warc.round_trip(pages, str(tmp_path / "w"), per_file=5).cache()
     stored = {(c.metadata["fields"]["id"], bytes(c.response["payload"]).decode()) for c in captures.collect() if c.response["type"] == "response"}
     assert ("5", rows[4][2]) in stored and ("6", "") in stored and ("1", "x" * 1000) not in stored
+    ids = {c.response["record_id"] for c in captures.collect() if c.response["type"] == "response"}
+    referred = [c.response["refers_to"] for c in captures.collect() if c.response["type"] == "revisit"]
+    assert len(referred) == 3 and set(referred) <= ids
     got = Counter((r.id, r.type, r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.resolve(captures).collect())
     heads = {"x" * 1000: 2, "y" * 2000: 9}
     want = Counter()

@@ -7,7 +7,8 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from webloom.llm.queries import ORACLE_SQL, QUERIES
+from webloom.llm.oracle import ORACLE_SQL
+from webloom.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -16,7 +17,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_and_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{DATA}/pages.parquet')")
+    for table in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
     want = con.sql(ORACLE_SQL[name])
     df = QUERIES[name](spark, DATA)
     assert sorted(df.columns) == sorted(want.columns)
@@ -48,3 +50,22 @@ def test_pipeline(spark, tmp_path):
     assert "[SECRET]" in seen[3][25] and all(seen[3][k] == clean[k] for k in range(12))
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == kept
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, null ids, repeated rows, clashing columns, no labels and no benchmark."""
+    schema = "doc_id long, text string, id long, stats int, __stats int, __found int, node long"
+    long = " ".join(f"w{k * 7919 % 100003}" for k in range(30_000))
+    plain = " ".join(f"v{k}" for k in range(40))
+    rows = [(None, plain, 1, 1, 1, 1, 1), (None, plain, 2, 2, 2, 2, 2), (3, plain, 3, 3, 3, 3, 3), (3, plain, 4, 4, 4, 4, 4), (4, long, 5, 5, 5, 5, 5), (5, None, 6, 6, 6, 6, 6), (6, "", 7, 7, 7, 7, 7)]
+    for name, kind in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = spark.createDataFrame(rows, schema)
+    want = {"quality rules": {1, 2, 3, 4, 5}, "near duplicates": set(range(1, 8)), "benchmark decontamination": set(range(1, 8)), "secret masking": set(range(1, 8))}
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        got = step(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and {r.id for r in got.collect()} == want[name], name
+        assert step(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r.piece == 0 for r in packed) == 7 and max(r.piece for r in packed) > 10
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), str(tmp_path)).count() == 0

@@ -1,4 +1,4 @@
-"""The queries of this subpackage, and their DuckDB SQL where SQL can express them."""
+"""The queries of this subpackage."""
 
 from __future__ import annotations
 
@@ -72,13 +72,16 @@ RULES = [
     url_filter.Rule("block", "example.com", "/de/"),
     url_filter.Rule("allow", "org", "/fr/"),
 ]
-#: The list of the query: canonical URLs of the pages on hosts named so.
-LISTED_HOSTS = r"(^|\.)(cheap-pills|casino-win|free-bets|spam-farm|adult-x|ads-track)\."
+#: The list of the query, as an operator would get one from elsewhere: canonical URLs of which nothing but the list itself
+#: says that they are on it.  Those whose MD5 begins so, those of hosts named so, and as many that no page has.
+LISTED_DIGEST, LISTED_HOSTS = "0", r"(^|\.)(cheap-pills|casino-win|free-bets|spam-farm|adult-x|ads-track)\."
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select(url_filter.canonical(F.col("url")).alias("key"))
+    known = pages.select(url_filter.canonical(F.col("url")).alias("key"), url_filter.host_of(F.col("url")).alias("host"))
+    known = known.where(F.md5("key").startswith(LISTED_DIGEST) | F.col("host").rlike(LISTED_HOSTS)).select("key")
+    listed = known.unionByName(known.select(F.concat("key", F.lit("/gone")).alias("key")))
     judged = url_filter.judge(pages, listed, RULES)
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
@@ -138,33 +141,3 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
-
-_REST = "substr(url, strpos(url, '://') + 3)"
-_HAS = "strpos(url, '://') > 0"
-ORACLE_SQL: dict[str, str] = {
-    "op3_warc": """
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-h AS (SELECT payload_digest, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
-SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN head <> page_id THEN head END AS refers_to
-FROM p LEFT JOIN h ON p.payload_digest = h.payload_digest""",
-    "op6_url_filter": rf"""
-WITH p AS (
-  SELECT page_id, CASE WHEN {_HAS} THEN translate(regexp_extract({_REST}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-    CASE WHEN {_HAS} THEN regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
-    CASE WHEN {_HAS} THEN regexp_extract({_REST}, '^[^?#]*\?([^#]*)', 1) ELSE '' END AS query, coalesce({_HAS}, false) AS has
-  FROM pages),
-k AS (
-  SELECT *, CASE WHEN has THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(list_filter(string_split(query, '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'ref'))) > 0
-    THEN '?' || array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'ref'))), '&') ELSE '' END END AS key
-  FROM p),
-r AS (
-  SELECT *, CASE
-    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
-    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
-    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
-    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
-  FROM k)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN key IN (SELECT key FROM k WHERE regexp_matches(host, '(^|\.)(cheap-pills|casino-win|free-bets|spam-farm|adult-x|ads-track)\.') AND key IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict
-FROM r""",
-}

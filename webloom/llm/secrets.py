@@ -5,9 +5,9 @@ report alone: an interval join within a scope of `SCOPE` code points reports an
 only near an identifier, and an endpoint only near both.  Parts meet in cells of one scope's length, so a cell holds a
 bounded number of them and no pair of far parts is formed.
 
-Spans count code points, end exclusive.  Defined results: a null text is empty and has no spans; repeated rows get the
-same spans each; empty tables give empty results; other columns pass through `redact` untouched and are ignored
-elsewhere.
+Spans count code points, end exclusive.  Defined results: a null text is empty and has no spans; spans that start together
+are ordered by kind, then end; repeated rows get the same spans each; a text of any length is scanned whole; empty tables
+give empty results; other columns pass through `redact` untouched and are ignored elsewhere.
 """
 
 from __future__ import annotations

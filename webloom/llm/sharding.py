@@ -5,8 +5,9 @@ versioned map says which shard holds which slot.  Growing or rebalancing edits t
 changed hands move.  The map has one entry per slot, so its size is bounded by a parameter, whatever the corpus.
 
 Defined results: a null text has no bytes and counts `overhead` only; a null id hashes like any other value; records
-with the same id share a slot, each with a place of its own; an empty table gives an empty result; columns other than
-id and text are ignored, whatever their names.
+with the same id share a slot, each with a place of its own; equal loads go to the lower slot and shard; a text of any
+length is one record; an empty table gives an empty result; columns other than id and text are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

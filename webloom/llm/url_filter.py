@@ -1,12 +1,12 @@
 """URL filters: domain and path rules, and a list of canonical URLs behind a blocked Bloom filter.
 
 A blocked Bloom filter keeps all bits of a key in one 256-bit block, a row of four 64-bit words.  It passes possible
-hits; an exact hash join with the list removes the false positives among them.  The filter has at most `max_blocks`
-rows, whatever the list's length, which bounds what is broadcast; a list beyond its capacity only passes more keys on
-to the exact join.
+hits; an exact hash join with the list removes the false positives among them.  The filter has as many blocks as the
+list needs.  Up to `max_blocks` of them are broadcast; a larger filter is joined by block, which only shuffles.
 
-Defined results: a null url or one without `://` has empty host and path, fits no rule and is never listed; repeated
-rows are judged each; empty tables give empty results; other columns are ignored.
+Defined results: a null url or one without `://` has empty host and path, fits no rule and is never listed; a url of any
+length is judged whole; of rules of one length that both fit, the one whose text is last in order decides; repeated rows
+are judged each; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import sized
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query keys that never identify a page (fixed values).
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref")
@@ -81,13 +83,13 @@ def _bits(key: str) -> list[Column]:
 def listed_keys(pages: DataFrame, listed: DataFrame, key_col: str = "key", bits_per_key: int = 16, max_blocks: int = 1 << 15) -> DataFrame:
     """`pages` with a boolean column `listed`: its `key_col` is in `listed` (one column, key).  Null keys are not.
 
-    The blocks, at most max_blocks rows of 40 bytes, are broadcast; possible hits go to a hash join with the list.
+    Blocks are rows of 40 bytes; possible hits go to a hash join with the list.
     """
     keys = listed.select("key").where(F.col("key").isNotNull()).distinct()
-    n_blocks = max(1, min(max_blocks, -(-keys.count() * bits_per_key // 256)))
-    filters = bloom(keys, n_blocks)
+    n_blocks = max(1, -(-keys.count() * bits_per_key // 256))
+    filters = sized(bloom(keys, n_blocks), n_blocks, 40, 40 * max_blocks)
     fits = [F.col(f"w{j}").bitwiseAND(m) == m for j, m in enumerate(_bits(key_col))]
-    probed = pages.withColumn("block", block_of(F.col(key_col), n_blocks)).join(F.broadcast(filters), "block", "left")
+    probed = pages.withColumn("block", block_of(F.col(key_col), n_blocks)).join(filters, "block", "left")
     maybe = F.coalesce(F.col(key_col).isNotNull() & fits[0] & fits[1] & fits[2] & fits[3], F.lit(False))
     probed = probed.withColumn("maybe", maybe).select(*pages.columns, "maybe")
     hits = probed.where("maybe").drop("maybe")
