@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from webloom.functions import urls
 from webloom.operators import inventory, policy
 from webloom.options import Options
-from webloom.session import kept, numbered
+from webloom.session import Grown, kept, numbered
 
 
 @dataclass
@@ -37,21 +37,21 @@ def traverse(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max_depth:
     first = Window.partitionBy("url").orderBy("seq")
     front = seeds.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
     done = visited.select("url", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("long").alias("seq")) if visited is not None else spark.createDataFrame([], "url string, depth int, seq long")
-    done = kept(done, "visited")
-    total, spent, levels = done.count(), 0, []
-    front = kept(front.join(done.select("url"), "url", "left_anti").where(F.col("depth") <= max_depth).select("url", "depth", "seq"), "frontier")
+    seen = Grown(done, "visited")
+    total, spent, levels = seen.frame().count(), 0, []
+    front = kept(front.join(seen.frame().select("url"), "url", "left_anti").where(F.col("depth") <= max_depth).select("url", "depth", "seq"), "frontier")
     while (waiting := front.count()) > 0:
         room = min(x for x in (waiting, None if max_pages is None else max_pages - total, None if budget is None else budget - spent) if x is not None)
         if room <= 0:
             if budget is not None and spent >= budget:
                 front = front.limit(0)
             break
-        ordered = kept(numbered(front.drop("seq").withColumn("old", F.lit(0)), "depth", "url") if "seq" not in front.columns else front, "level")
-        level = ordered if room == waiting else kept(ordered.orderBy("seq").limit(room), "level-cut")
-        rest = None if room == waiting else kept(ordered.join(level.select("url"), "url", "left_anti"), "rest")
+        level = front if room == waiting else kept(front.orderBy("seq").limit(room), "level-cut")
+        rest = None if room == waiting else kept(front.join(level.select("url"), "url", "left_anti"), "rest")
         levels.append(room)
         total, spent = total + room, spent + room
-        done = kept(done.unionByName(level.select("url", "depth", "seq")), "visited")
+        seen.add(level)
+        done = seen.frame()
         expand = level.where(F.col("depth") < max_depth)
         found = expand.join(edges.withColumnRenamed("src", "url"), "url").select(F.col("dst").alias("to"), (F.col("depth") + 1).alias("depth"), F.col("seq").alias("parent"), "pos")
         if allow is not None:
@@ -61,11 +61,11 @@ def traverse(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max_depth:
             found = found.join(rest.select(F.col("url").alias("to")), "to", "left_anti")
         # the first discovery of a page: least (depth, parent, pos), by a map-side aggregate
         found = found.groupBy("to").agg(F.min(F.struct("depth", "parent", "pos")).alias("d")).select(F.col("to").alias("url"), "d.depth", "d.parent", "d.pos")
-        begin = (ordered.agg(F.max("seq")).first()[0] or 0) + 1
-        front = kept(numbered(found, "depth", "parent", "pos", begin=begin).select("url", "depth", "seq"), "frontier")
+        begin = (front.agg(F.max("seq")).first()[0] or 0) + 1
+        front = numbered(found, "depth", "parent", "pos", begin=begin).select("url", "depth", "seq")
         if rest is not None:
-            front = kept(rest.select("url", "depth", "seq").unionByName(front), "frontier")
-    return Traversal(done, front, levels)
+            front = rest.select("url", "depth", "seq").unionByName(front)
+    return Traversal(seen.frame(), front, levels)
 
 
 def start_rows(o: Options, sitemap_links: list[str] = (), queue: list[tuple[str, int]] | None = None) -> list[tuple[str, int, int]]:

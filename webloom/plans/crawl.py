@@ -11,7 +11,7 @@ from webloom.functions import html, urls
 from webloom.operators import health, policy
 from webloom.operators.traverse import metrics, start_rows
 from webloom.options import Options
-from webloom.session import kept, numbered
+from webloom.session import Grown, kept, numbered
 from webloom.sources import http, sitemap
 from webloom.sources.state import State, results_frame
 
@@ -95,7 +95,8 @@ def crawl(spark: SparkSession, o: Options, fetcher: http.Fetcher = http.fetch_pa
     host starts with, and `validators` and `circuits` are an earlier traversal's.
     """
     state, retry = state or State(), retry or health.Linear(o.retries, o.retry_backoff)
-    visited = kept(spark.createDataFrame([(v,) for v in state.visited], "url string"), "visited")
+    seen = Grown(spark.createDataFrame([(v,) for v in state.visited], "url string"), "visited")
+    visited = seen.frame()
     robots = None
     validators = kept(validators if validators is not None else spark.createDataFrame([], "url string, etag string, last_modified string"), "validators")
     front = spark.createDataFrame(start_rows(o, (), state.queue), "url string, depth int, seq long")
@@ -137,8 +138,8 @@ def crawl(spark: SparkSession, o: Options, fetcher: http.Fetcher = http.fetch_pa
         own = got.select(*COLUMNS, "seq").withColumn("links", F.filter("links", lambda u: policy.may_follow(u, o)))
         parts += [own, shut]
         total, spent = total + n + blocked, spent + n
-        seen = go.select("url").unionByName(shut.select("url"))
-        visited = kept(visited.unionByName(seen), "visited")
+        seen.add(go.select("url").unionByName(shut.select("url")))
+        visited = seen.frame()
         found = own.where(F.col("depth") < o.max_depth).select((F.col("depth") + 1).alias("depth"), F.col("seq").alias("parent"), F.posexplode("links").alias("pos", "to"))
         found = found.groupBy("to").agg(F.min(F.struct("depth", "parent", "pos")).alias("d")).select(F.col("to").alias("url"), "d.depth", "d.parent", "d.pos")
         rest = front.join(visited, "url", "left_anti")

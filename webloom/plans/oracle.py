@@ -78,6 +78,7 @@ SELECT page_id, CASE WHEN starts_with(host, 'blog.') THEN true WHEN starts_with(
     "page_text": f"SELECT page_id, {_TEXT} AS text FROM pages",
     "page_digest": f"SELECT page_id, sha256({_TEXT}) AS sha256 FROM pages",
     "page_title": f"SELECT page_id, left(trim(regexp_replace({_decoded(_TITLE)}, '{_WHITE}', ' ', 'g')), 300) AS title FROM pages",
+    "page_truncated": """SELECT page_id, CAST(len(list_filter(regexp_extract_all(substr(hex(encode(html)), 1, 4000), '..'), lambda x: substr(x, 1, 1) NOT IN ('8', '9', 'A', 'B'))) AS BIGINT) AS chars, strlen(html) > 2000 AS truncated FROM pages""",
     "endpoint_inventory": f"WITH {_RESULTS} SELECT url, status, {_KIND} AS type, content_type, error FROM results",
     "model_names": "SELECT DISTINCT 'model-' || (page_id % 10) AS model FROM pages WHERE page_id % 5 = 0",
     "inventory_summary": "SELECT (SELECT string_agg(m, ',' ORDER BY m) FROM (SELECT DISTINCT 'model-' || (page_id % 10) AS m FROM pages WHERE page_id % 5 = 0)) AS model_names, count(*) AS total_endpoints FROM pages",
@@ -96,7 +97,7 @@ SELECT count(*) FILTER (NOT blocked) AS fetched, count(*) FILTER (e IN ('t', 'x'
     "health_window_rate": f"WITH {_OUT}, {_WINDOW} SELECT seq, n, failures FROM w",
     "health_alerts": f"WITH {_ALERTS} SELECT seq, message FROM alerts",
     "health_snapshot": f"""WITH {_ALERTS}, t AS (SELECT count(*) AS total_requests, count(*) FILTER (NOT success) AS total_failures, count(DISTINCT domain) AS domains_crawled FROM o)
-SELECT *, total_failures / total_requests AS failure_rate, (SELECT count(*) FROM alerts) AS n_alerts, CASE WHEN total_failures / total_requests < 0.5 AND (SELECT count(*) FROM alerts) = 0 THEN 'healthy' ELSE 'degraded' END AS status FROM t""",
+SELECT *, round(total_failures / total_requests, 4) AS failure_rate, (SELECT count(*) FROM alerts) AS n_alerts, CASE WHEN total_failures / total_requests < 0.5 AND (SELECT count(*) FROM alerts) = 0 THEN 'healthy' ELSE 'degraded' END AS status FROM t""",
     "breaker_states": f"""WITH RECURSIVE {_OUT}, t AS (SELECT *, us / 1e6 AS ts, row_number() OVER (PARTITION BY domain ORDER BY seq) AS turn FROM o),
 b AS (
   SELECT domain, CAST(0 AS BIGINT) AS turn, CAST(-1 AS BIGINT) AS seq, false AS blocked, 'closed' AS state, 0 AS failures, CAST(0 AS DOUBLE) AS opened FROM t GROUP BY domain
@@ -113,4 +114,10 @@ SELECT seq, attempt, attempt <= 3 AND status IN (429, 500, 502, 503, 504) AS ret
     "monitor_summary": f"""WITH {_OBS}, c AS (SELECT count(*) FILTER (state = 'baseline') AS baseline, count(*) FILTER (state = 'changed') AS changed, count(*) FILTER (state = 'unchanged') AS unchanged, count(*) FILTER (state = 'error') AS error, count(*) AS total FROM s)
 SELECT *, CASE WHEN error = total THEN 'failed' WHEN error > 0 THEN 'partial' ELSE 'ok' END AS status FROM c""",
     "monitor_contents": f"WITH {_OBS} SELECT DISTINCT sha256, length(text) AS chars FROM s WHERE error IS NULL",
+    "monitor_evidence": f"""WITH {_OBS}, t AS (SELECT sha256, any_value(text) AS text FROM s WHERE error IS NULL GROUP BY sha256),
+c AS (SELECT s.id, s.run, t.text AS old, s.text AS new, string_split(t.text, '') AS a, string_split(s.text, '') AS b, least(length(t.text), length(s.text)) AS most FROM s JOIN t ON t.sha256 = s.previous_sha256 WHERE state = 'changed'),
+h AS (SELECT *, coalesce(list_position(list_transform(list_zip(a[1:most], b[1:most]), lambda z: z[1] <> z[2]), true) - 1, most) AS head FROM c),
+l AS (SELECT *, coalesce(list_position(list_transform(list_zip(list_reverse(a)[1:most - head], list_reverse(b)[1:most - head]), lambda z: z[1] <> z[2]), true) - 1, most - head) AS tail FROM h),
+e AS (SELECT *, substr(new, greatest(0, head - 60) + 1, length(new) - tail + 60 - greatest(0, head - 60)) AS more, substr(old, greatest(0, head - 60) + 1, length(old) - tail + 60 - greatest(0, head - 60)) AS less FROM l)
+SELECT id, run, left(more, 400) AS added, left(less, 400) AS removed, length(more) > 400 OR length(less) > 400 AS truncated FROM e""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,18 +18,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def numbered(df: DataFrame, *order: str, begin: int = 0, name: str = "seq") -> DataFrame:
-    """`df` with a column `name`: begin, begin + 1, ... in order.  Ranges are sorted in parallel and counted; only the
-    counts of the ranges come to the driver, so no task sees a whole level."""
+    """`df` with a column `name`: begin, begin + 1, ... in order.  Ranges are sorted in parallel, and rows take their
+    places in them as they are written; only the counts of the ranges come to the driver, so no task sees all rows."""
     spark = df.sparkSession
-    ranged = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = sorted((r[0], r[1]) for r in ranged.groupBy("__range").count().collect())
+    ranged = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()), "ranges")
+    own, turn = F.shiftright("__place", 33), F.col("__place").bitwiseAND((1 << 33) - 1)
     rows, at = [], begin
-    for key, n in counts:
+    for key, n in sorted((r[0], r[1]) for r in ranged.groupBy(own).count().collect()):
         rows.append((key, at))
         at += n
-    starts = spark.createDataFrame(rows, "__range int, __at long")
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return ranged.withColumn("__turn", within).join(F.broadcast(starts), "__range").withColumn(name, F.col("__at") + F.col("__turn")).drop("__range", "__turn", "__at")
+    starts = spark.createDataFrame(rows, "__range long, __at long")
+    return ranged.withColumn("__range", own).join(F.broadcast(starts), "__range").withColumn(name, F.col("__at") + turn).drop("__range", "__place", "__at")
+
+
+class Grown:
+    """A table in the shared folder to which rows are added, each time as files of their own."""
+
+    def __init__(self, first: DataFrame, name: str) -> None:
+        self.spark, self.schema, self.parts = first.sparkSession, first.schema, []
+        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> None:
+        self.parts.append(f"{self.path}/part={len(self.parts)}")
+        rows.select(*self.schema.names).write.parquet(self.parts[-1])
+
+    def frame(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.parts)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
