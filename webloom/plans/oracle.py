@@ -12,6 +12,8 @@ _PAIRS = "list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), l
 _KEPT = f"list_sort(list_filter({_PAIRS}, lambda p: lower(split_part(p, '=', 1)) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid')))"
 _PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 
+_CANONICAL = f"regexp_extract(url, '^[a-z]+://[^/?#]*') || CASE WHEN {_PATH} IN ('', '/') THEN '/' ELSE rtrim({_PATH}, '/') END || CASE WHEN len({_KEPT}) > 0 THEN '?' || array_to_string({_KEPT}, '&') ELSE '' END"
+
 # page text, by the rules as they apply to these pages
 _BARE = r"regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<!doctype[^>]*>', '', 'g'), '(?is)<head>.*?</head>|<nav>.*?</nav>|<header>.*?</header>|<footer>.*?</footer>', '', 'g')"
 _OPEN = rf"regexp_replace(regexp_replace({_BARE}, '(?i)</?(p|div|section|article|main|li|ul|ol|br|hr|h[1-6]|tr|td|th|pre|blockquote)\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')"
@@ -64,7 +66,7 @@ ORACLE_SQL: dict[str, str] = {
     "links_extract": f"WITH {_LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, raw FROM raw",
     "links_normalized": f"WITH {_LINKS} SELECT page_id, pos, raw, url FROM resolved",
     "links_by_host": f"WITH {_LINKS} SELECT {_HOST} AS host, count(*) AS n_links, count(DISTINCT url) AS n_targets, count(DISTINCT page_id) AS n_pages FROM resolved GROUP BY 1",
-    "urls_canonical": f"SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || CASE WHEN {_PATH} IN ('', '/') THEN '/' ELSE rtrim({_PATH}, '/') END || CASE WHEN len({_KEPT}) > 0 THEN '?' || array_to_string({_KEPT}, '&') ELSE '' END AS canonical FROM pages",
+    "urls_canonical": f"SELECT page_id, {_CANONICAL} AS canonical FROM pages",
     "links_allowed": f"""WITH {_LINKS}, h AS (SELECT page_id, pos, url, {_HOST} AS host FROM resolved)
 SELECT page_id, pos, url FROM h WHERE (host = 'example.com' OR ends_with(host, '.example.com') OR host = 'example.net' OR ends_with(host, '.example.net'))
   AND NOT (host = 'cheap-pills.example.com' OR ends_with(host, '.cheap-pills.example.com') OR host = 'tionsh.example.net' OR ends_with(host, '.tionsh.example.net'))""",
@@ -120,4 +122,19 @@ h AS (SELECT *, coalesce(list_position(list_transform(list_zip(a[1:most], b[1:mo
 l AS (SELECT *, coalesce(list_position(list_transform(list_zip(list_reverse(a)[1:most - head], list_reverse(b)[1:most - head]), lambda z: z[1] <> z[2]), true) - 1, most - head) AS tail FROM h),
 e AS (SELECT *, substr(new, greatest(0, head - 60) + 1, length(new) - tail + 60 - greatest(0, head - 60)) AS more, substr(old, greatest(0, head - 60) + 1, length(old) - tail + 60 - greatest(0, head - 60)) AS less FROM l)
 SELECT id, run, left(more, 400) AS added, left(less, 400) AS removed, length(more) > 400 OR length(less) > 400 AS truncated FROM e""",
+    "source_urls": "SELECT page_id, CASE WHEN starts_with(url, 'https://') AND NOT contains(url, '#') THEN url END AS source, NOT (starts_with(url, 'https://') AND NOT contains(url, '#')) AS refused FROM pages",
+    "manifest_faults": """WITH r AS (SELECT CASE WHEN page_id % 7 = 0 THEN '-' ELSE 'p' END || (page_id - page_id % 2) AS id, page_id % 7 = 0 AS bad_id, page_id % 11 = 0 AS bad_label, CASE WHEN starts_with(url, 'https://') AND NOT contains(url, '#') THEN url END AS url FROM pages)
+SELECT * FROM (SELECT 'id' AS fault, count(*) FILTER (bad_id) AS n FROM r UNION ALL SELECT 'label', count(*) FILTER (bad_label) FROM r UNION ALL SELECT 'url', count(*) FILTER (url IS NULL) FROM r
+  UNION ALL SELECT 'id is not unique', count(*) FROM (SELECT id FROM r GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'url is not unique', count(*) FROM (SELECT url FROM r WHERE url IS NOT NULL GROUP BY url HAVING count(*) > 1)) WHERE n > 0""",
+    "content_dispatch": f"""WITH b AS (SELECT doc_id, doc_id % 4 AS k, CASE WHEN doc_id % 4 = 1 THEN '{{"a":[1,null],"b":' || doc_id || '}}' ELSE trim(regexp_replace(coalesce(text, ''), '{_WHITE}', ' ', 'g')) END AS text FROM documents),
+e AS (SELECT *, CASE k WHEN 2 THEN 'Content-Type application/pdf is not supported' WHEN 3 THEN 'no Content-Type, so no baseline can be made' ELSE CASE WHEN text = '' THEN 'no content is left; the last good baseline stays' END END AS error FROM b)
+SELECT doc_id, CASE WHEN error IS NULL THEN sha256(text) END AS sha256, error FROM e""",
+    "sitemap_pages": f"SELECT {_CANONICAL} AS url FROM pages WHERE page_id % 3 <> 0 UNION SELECT 'https://base.example/rel' FROM pages WHERE page_id % 3 <> 0",
+    "robots_sitemaps": f"WITH h AS (SELECT DISTINCT {_HOST} AS netloc FROM pages) SELECT netloc, 'https://' || netloc || s AS sitemap FROM h, (VALUES ('/s.xml'), ('/t.xml')) v(s)",
+    "politeness_robots": f"SELECT page_id, CAST((row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) - 1) * 2.0 AS DOUBLE) AS start_s FROM pages",
+    "bfs_budget": f"WITH RECURSIVE {_TREE.format(depth=3)} SELECT url, depth, CAST(0 AS BIGINT) AS waiting FROM walk ORDER BY depth, place LIMIT 25",
+    "agent_seeds": f"SELECT start, origin || unnest({_SEEDS}) AS url FROM (VALUES ('https://a.example/x/y?z', 'https://a.example'), ('http://b.example:8080', 'http://b.example:8080')) v(start, origin)",
+    "conditional_requests": "SELECT url, min(page_id) AS seq, CASE WHEN min(page_id) % 3 = 0 THEN 'e' || min(page_id) END AS etag, CASE WHEN min(page_id) % 6 = 0 THEN 'Mon' END AS last_modified FROM pages GROUP BY url",
+    "last_results": "SELECT regexp_extract(url, '^https?://[^/?#]*') AS url, 200 AS status, max(page_id) AS seq FROM pages GROUP BY 1",
+    "state_round_trip": "SELECT url, CAST(page_id % 3 AS INTEGER) AS depth, page_id AS seq FROM pages",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from webloom.functions import html, urls
 from webloom.operators import health, inventory, links, monitor, policy, traverse
 from webloom.options import Options
+from webloom.session import shared_dir
+from webloom.sources import http, manifest, sitemap, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -238,9 +241,91 @@ def monitor_evidence(spark: SparkSession, d: str) -> DataFrame:
     return monitor.with_evidence(monitor.states(rows), monitor.contents(rows)).where("state = 'changed'").select("id", "run", "added", "removed", "truncated")
 
 
+# --- sources and state ---
+
+
+def source_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Page URLs as if they were to be monitored: the resource, or that it is refused."""
+    return table(spark, d, "pages").select("page_id", urls.source_key("url").alias("k")).select("page_id", F.col("k.url").alias("source"), F.col("k.error").isNotNull().alias("refused"))
+
+
+def manifest_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Faults by kind of a manifest made of all pages, some with bad ids and labels."""
+    p = F.col("page_id")
+    rows = table(spark, d, "pages").select(F.concat(F.when(p % 7 == 0, "-").otherwise("p"), (p - p % 2).cast("string")).alias("id"), "url", F.when(p % 11 == 0, F.repeat(F.lit("x"), F.lit(201))).otherwise("").alias("label"))
+    return manifest.faults(rows).groupBy(F.substring_index("fault", ":", 1).alias("fault")).agg(F.count("*").alias("n"))
+
+
+def content_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as bodies of four media types: the digest of what is compared, or why nothing is."""
+    k = F.col("doc_id") % 4
+    kind = F.when(k == 0, "text/plain; charset=utf-8").when(k == 1, "application/problem+json").when(k == 2, "application/pdf")
+    body = F.when(k == 1, F.concat(F.lit('{"b": '), F.col("doc_id").cast("string"), F.lit(', "a": [1, null]}'))).otherwise(html.squeezed(F.col("text")))
+    rows = table(spark, d, "documents").select("doc_id", html.content(kind, F.lit(None).cast("string"), F.encode(body, "UTF-8")).alias("c"))
+    return rows.select("doc_id", F.sha2("c.text", 256).alias("sha256"), F.col("c.error").alias("error"))
+
+
+def sitemap_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that sitemaps name, one made of each page; those that are not sent as XML name none."""
+    xml = F.concat(F.lit('<urlset xmlns="u"><url><loc> '), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url><loc>/rel/</loc><x>/no</x></urlset>"))
+    media = F.when(F.col("page_id") % 3 == 0, "text/html").otherwise("application/xml")
+    return sitemap.links(table(spark, d, "pages").select(media.alias("content_type"), F.encode(xml, "UTF-8").alias("body"), F.lit("https://base.example/").alias("base")))
+
+
+def _robots(spark: SparkSession, d: str) -> DataFrame:
+    hosts = table(spark, d, "pages").select(urls.authority(F.col("url")).alias("netloc")).distinct()
+    body = F.concat(F.lit("Sitemap: https://"), "netloc", F.lit("/s.xml\nUser-agent: other\nCrawl-delay: 9\n\nUser-agent: *\nDisallow: /x\nCrawl-delay: 2\nsitemap: https://"), "netloc", F.lit("/t.xml\n"))
+    return policy.robots_table(hosts.select("netloc", F.lit(200).alias("status"), body.alias("body"), F.lit(False).alias("failed")))
+
+
+def robots_sitemaps(spark: SparkSession, d: str) -> DataFrame:
+    return _robots(spark, d).select("netloc", F.explode("sitemaps").alias("sitemap"))
+
+
+def politeness_robots(spark: SparkSession, d: str) -> DataFrame:
+    """When requests start where the hosts' robots ask for longer pauses than the traversal's."""
+    rows = table(spark, d, "pages").select("page_id", "url", F.col("page_id").alias("seq"))
+    return policy.planned_start(rows, 0.5, _robots(spark, d), "webloom/1.0").select("page_id", "start_s")
+
+
+def bfs_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that a spent request budget left room for; nothing waits after them."""
+    seeds, edges = site(spark, d)
+    walk = traverse.traverse(spark, seeds, edges, max_depth=3, max_pages=None, budget=25)
+    return walk.visited.select("url", "depth", F.lit(walk.frontier.count()).cast("long").alias("waiting"))
+
+
+def agent_seeds(spark: SparkSession, d: str) -> DataFrame:
+    starts = ("https://a.example/x/y?z", "http://b.example:8080")
+    return spark.createDataFrame([(s, u) for s in starts for u in inventory.seeds(s)], "start string, url string")
+
+
+def conditional_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of all pages with the validators that an earlier traversal left for some."""
+    rows = table(spark, d, "pages").groupBy("url").agg(F.min("page_id").alias("seq"))
+    known = rows.where("seq % 3 = 0").select("url", F.concat(F.lit("e"), F.col("seq").cast("string")).alias("etag"), F.when(F.col("seq") % 2 == 0, "Mon").alias("last_modified"))
+    return http.requests_of(rows, known).select("url", "seq", "etag", "last_modified")
+
+
+def last_results(spark: SparkSession, d: str) -> DataFrame:
+    """The result that an upsert by URL leaves, of pages read at paths that many share."""
+    rows = results(spark, d).select(F.regexp_extract("url", "^https?://[^/?#]*", 0).alias("url"), "status", F.col("page_id").alias("seq"))
+    return state.last_per_url(rows)
+
+
+def state_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A frontier that was written with its visited pages and results, and read back."""
+    rows = table(spark, d, "pages").select("url", (F.col("page_id") % 3).cast("int").alias("depth"), F.col("page_id").alias("seq"))
+    path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    state.write_parquet(path, rows.select("url"), rows, state.results_frame(spark, state.State()))
+    return state.read_parquet(spark, path)[1]
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     links_by_host, links_extract, links_normalized, urls_canonical, links_allowed, links_trap, robots_filter, politeness_schedule,
     page_text, page_digest, page_title, page_truncated, endpoint_inventory, model_names, inventory_summary, graph_nodes, graph_edges,
     bfs_depths, bfs_limited, bfs_frontier, crawl_metrics, health_domain_stats, health_status_hist, health_window_rate, health_alerts,
     health_snapshot, breaker_states, retry_schedule, recrawl_schedule, monitor_states, monitor_summary, monitor_contents, monitor_evidence,
+    source_urls, manifest_faults, content_dispatch, sitemap_pages, robots_sitemaps, politeness_robots, bfs_budget, agent_seeds,
+    conditional_requests, last_results, state_round_trip,
 )}
