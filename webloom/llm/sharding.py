@@ -113,13 +113,17 @@ def grow(old: SlotMap) -> SlotMap:
 def save_map(spark: SparkSession, m: SlotMap, path: str) -> None:
     """Each version is a folder of its own; readers take the newest whole one."""
     rows = [(slot, shard, load) for slot, (shard, load) in enumerate(zip(m.shard_of, m.loads, strict=True))]
-    df = spark.createDataFrame(rows, "slot int, shard int, bytes long").withColumn("n_shards", F.lit(m.n_shards))
+    df = spark.createDataFrame(rows, "slot int, shard int, bytes long").withColumns({"n_shards": F.lit(m.n_shards), "n_slots": F.lit(len(rows))})
     df.coalesce(1).write.parquet(f"{path}/version={m.version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+    """The newest version, or the given one, of which all slots are there."""
     df = spark.read.option("basePath", path).parquet(path)
-    version = df.agg(F.max("version")).first()[0] if version is None else version
+    whole = {r.version for r in df.groupBy("version", "n_slots").count().where("count = n_slots").select("version").collect()}
+    version = max(whole, default=None) if version is None else version
+    if version not in whole:
+        raise ValueError(f"no whole slot map of version {version} in {path}")
     rows = df.where(F.col("version") == version).orderBy("slot").collect()
     return SlotMap(version, rows[0].n_shards, tuple(r.shard for r in rows), tuple(r.bytes for r in rows))
 

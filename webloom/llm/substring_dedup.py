@@ -6,7 +6,8 @@ packed bits with rank counts, and streams the runs' windows through backward sea
 fewer than two places match it, and its matching statistic reaches the threshold if n steps leave two or more.
 
 Defined results: a null text has no words; texts of fewer than `n` words lose nothing; every row of a text that several
-rows hold loses all of it, if it has n words; an empty table gives an empty result; other columns are ignored.
+rows hold loses all of it, if it has n words, whatever their ids; a text of any length is searched whole; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from webloom.llm.common import flat, slices, word_spans
+from webloom.llm.common import flat, release, slices, word_spans
 from webloom.llm.repeats import LAST, SLICE, Shape, covered, flagged, spans_of
 
 #: Windows that are streamed at a time.
@@ -151,5 +152,6 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
                 columns = [list(c) for c in zip(*out, strict=True)]
                 columns[4] = pa.array(columns[4], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        release()
 
     return rows.select("id", "text", "copies", "spans").mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept string, intervals array<long>")

@@ -6,8 +6,8 @@ a range of leading bytes, so that its arrays are small.  Ties beyond two machine
 difference cover of period 7: any two suffixes reach cover positions by one common step of at most 6.
 
 Defined results: a null text is empty; texts shorter than `n` lose nothing; a later exact copy of a longer text loses
-all; rows with the same id never take from one another; a null id counts as the largest; an empty table gives an empty
-result; other columns are ignored.
+all; rows with the same id never take from one another, equal or not; a null id counts as the largest; a text of any
+length is searched whole, in slices of whole documents; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from webloom.llm.common import release
 from webloom.llm.repeats import LAST, Shape, covered, flagged, spans_of
 
 PERIOD = 7
@@ -148,5 +149,6 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
             for lo in range(0, len(out), 2000):
                 columns = zip(*out[lo : lo + 2000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        release()
 
     return rows.select("id", "text", "first", "spans").mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
