@@ -1,12 +1,17 @@
 """The registered queries of the subpackage, and the pipeline."""
 
 import os
-from collections import Counter
+import re
+import zlib
+from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from webloom.llm import decontaminate
+from webloom.llm.common import flat
 from webloom.llm.oracle import ORACLE_SQL
 from webloom.llm.queries import QUERIES
 
@@ -69,3 +74,73 @@ def test_stages_on_odd_tables(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert sum(r.piece == 0 for r in packed) == 7 and max(r.piece for r in packed) > 10
     assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def documents():
+    return duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM read_parquet('{DATA}/documents.parquet') ORDER BY doc_id").fetchall()
+
+
+def test_quality_query(spark):
+    word, got = re.compile(r"[^\x20\x09-\x0D]+"), {r.doc_id: r for r in QUERIES["op2_quality_rules"](spark, DATA).collect()}
+    assert len(got) == len(documents())
+    for d, text in documents():
+        words, r, seen, again = word.findall(text), got[d], set(), 0
+        for line in text.split("\n"):
+            if word.search(line):
+                again += line in seen
+                seen.add(line)
+        held = Counter(tuple(words[j : j + 8]) for j in range(len(words) - 7))
+        repeated = len({k for j in range(len(words) - 7) if held[tuple(words[j : j + 8])] > 1 for k in range(j, j + 8)})
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, repeated)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, d
+        assert r.base_failed == (len(words) < 20 or 100 * repeated > 30 * len(words)) and not (r.base_failed and r.kept)
+
+
+def test_sharding_query(spark):
+    rows, docs = QUERIES["op7_sharding"](spark, DATA).collect(), dict(documents())
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in rows} == {d: (len(t.encode()) + 8, zlib.crc32(t.encode())) for d, t in docs.items()} and len(rows) == len(docs)
+    places, held = defaultdict(list), Counter()
+    for r in rows:
+        assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < 24
+        places[r.shard].append(r.slot)
+        held[r.shard] += r["size"]
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert max(held.values()) - min(held.get(s, 0) for s in range(24)) <= max(r["size"] for r in rows)
+
+
+def test_decontamination_query(spark):
+    """Against the subsequence judge over all stretches of all documents."""
+    from tests.llm.test_decontaminate import holds
+
+    def words(texts):
+        h, begin = decontaminate.terms(*flat(pa.array(texts, pa.string())))
+        return [h[a:z].tolist() for a, z in zip(begin[:-1], begin[1:], strict=True)]
+
+    items = words([t for (t,) in duckdb.sql(f"SELECT text FROM read_parquet('{DATA}/benchmark.parquet')").fetchall()])
+    docs = documents()
+    want = {d for (d, _), own in zip(docs, words([t for _, t in docs]), strict=True) if any(holds(own, i) for i in items if i and len(set(i) & set(own)) >= 0.5 * len(set(i)))}
+    rows = QUERIES["op8_decontamination"](spark, DATA).collect()
+    assert len(rows) == len(docs) and {r.doc_id for r in rows if r.contaminated} == want and want
+
+
+def test_packing_query(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    encode, want, rows = Tokenizer.from_file(path).encode, {}, QUERIES["op10_packing"](spark, DATA).collect()
+    for d, text in documents():
+        ids = [*encode(text, add_special_tokens=False).ids, 0]
+        n = -(-len(ids) // 2048)
+        cuts = [0, *(len(ids) - 2048 * (n - 1 - k) for k in range(n))]
+        want |= {(d, k): (a, z - a, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[a:z]))) for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))}
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for held in bins.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= 1 + 1.02 * sum(r.length for r in rows) / 2048
