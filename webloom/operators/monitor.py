@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import html
+from webloom.session import kept
 
 #: How text was made comparable; another value starts a new baseline (fixed value).
 NORMALIZATION = "visible-text-v1"
@@ -29,13 +30,19 @@ def states(rows: DataFrame) -> DataFrame:
     """`rows` (id, run, url, normalization, sha256, error) with previous_sha256 and state.
 
     The last good row of an id is compared, whatever its url; another url or normalization makes a new baseline.  Error
-    rows leave the last good one as it is.
+    rows leave the last good one as it is.  Rows are dealt by ranges of (id, run), so that no id's whole history is one
+    task's; the last good row of each range is carried to the next ones of its id.
     """
-    good = F.when(F.col("error").isNull(), F.struct("sha256", "url", "normalization"))
-    before = Window.partitionBy("id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(good, ignorenulls=True).over(before)
+    ranged = kept(rows.repartitionByRange("id", "run").withColumn("__range", F.spark_partition_id()), "observed")
+    good = F.when(F.col("error").isNull(), F.struct("run", "sha256", "url", "normalization"))
+    ends = ranged.groupBy("id", "__range").agg(F.max(good).alias("end"))
+    ranges = Window.partitionBy("id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("id", "__range", F.last("end", ignorenulls=True).over(ranges).alias("carried"))
+    before = Window.partitionBy("id", "__range").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumn("own", F.last(good, ignorenulls=True).over(before)).join(carried, ["id", "__range"])
+    rows = rows.withColumn("last", F.coalesce("own", "carried")).drop("own", "carried", "__range")
     same = (F.col("last.url") == F.col("url")) & (F.col("last.normalization") == F.col("normalization"))
-    rows = rows.withColumn("last", last).withColumn("previous_sha256", F.when(same, F.col("last.sha256")))
+    rows = rows.withColumn("previous_sha256", F.when(same, F.col("last.sha256")))
     state = F.when(F.col("error").isNotNull(), "error").when(F.col("previous_sha256").isNull(), "baseline").when(F.col("previous_sha256") == F.col("sha256"), "unchanged").otherwise("changed")
     return rows.withColumn("state", state).drop("last")
 
