@@ -3,6 +3,12 @@
 Quality rules reject documents; the Jaccard join keeps one of each class of near-duplicates; decontamination drops
 documents that hold benchmark items; the secret scan masks what it finds in the texts; packing deals the token pieces of
 all texts into sequences.  A stage's result is written as Parquet to the shared folder and read as the next one's docs.
+
+Defined results of the stages: a null or empty text fails the base rules, and so leaves in the first stage; alone, the
+later stages keep it.  Rows of a null id are judged like others, link with nothing and are never merged.  Rows that repeat
+an id share its fate in the second stage, and are judged each in the others.  Without labels only the base rules reject;
+without a benchmark nothing is contaminated; an empty table gives an empty table.  Texts of any length are read whole.  All
+but the last stage return the columns they were given, whatever else these are called.
 """
 
 from __future__ import annotations
@@ -19,9 +25,11 @@ from webloom.llm.queries import packed, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base checks nor the learned rules reject."""
-    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    judged = quality_rules.with_statistics(docs, name="__stats")
-    return judged.where(~quality_rules.base_failed("__stats") & ~quality_rules.rejected(rules, "__stats")).drop("__stats")
+    rules, name = quality_rules.fit(docs, table(spark, sf_dir, "labels")), "__stats"
+    while name in docs.columns:
+        name += "_"
+    judged = quality_rules.with_statistics(docs, name=name)
+    return judged.where(~quality_rules.base_failed(name) & ~quality_rules.rejected(rules, name)).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import by_slice, byte_values, flat, mix, partitions, prefix, release, sized, spans_hash, stage, windows_hash, word_spans
+from webloom.llm.common import by_slice, byte_values, flat, mix, partitions, prefix, release, sized, small_batches, spans_hash, stage, windows_hash, word_spans
 from webloom.llm.repeats import SHIFT, SLICE, repeated_keys
 
 SIGNS = 4
@@ -306,6 +306,7 @@ def _counted(rows: DataFrame, size: int) -> DataFrame:
 
 def _classes_of(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """(id, n, component_id) of rows (id, text) without repeated ids."""
+    small_batches(rows.sparkSession)
     measured = stage(_counted(rows, size), "sets")
     full = measured.where("n > 0 AND id IS NOT NULL")
     groups = full.groupBy("n", "d1", "d2").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")

@@ -6,9 +6,10 @@ no good document, and is pruned on the last third; a rule that is not precise en
 becomes one ordered conditional expression over columns of statistics.
 
 Defined results: a null text has no words; a text without words has zero for every statistic; rows with null or
-without labels teach nothing, and without any rule the method keeps everything; repeated rows are judged each; empty
-tables give empty results; columns of other names pass through untouched, since the statistics sit in one struct whose
-name the caller picks.
+without labels teach nothing, and without any rule the method keeps everything; of thresholds with equal gains the first
+in the order of features, then the lowest, is taken; repeated rows are judged each; a text of any length is counted whole;
+empty tables give empty results; columns of other names pass through untouched, since the statistics sit in one struct
+whose name the caller picks (a name that is taken is refused).
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import byte_values, flat, mix, owner_of, prefix, slices, spans_hash, windows_hash, word_spans
+from webloom.llm.common import by_slice, byte_values, flat, mix, prefix, small_batches, spans_hash, windows_hash, word_spans
 
-SLICE = 6 << 20
+SLICE = 2 << 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_upper", "n_digits", "n_lines", "n_stops", "n_distinct")
 STATS_TYPE = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 _SYMBOL, _UPPER, _DIGIT, _STOP = (np.zeros(256, bool) for _ in range(4))
@@ -92,14 +93,18 @@ def statistics(data: np.ndarray, at: np.ndarray, window: int = 8) -> dict[str, n
 
 def with_statistics(docs: DataFrame, text_col: str = "text", name: str = "stats") -> DataFrame:
     """`docs` with its columns and a struct column of counts."""
+    if name in docs.columns:
+        raise ValueError(f"the table has a column {name}; pick another name for the statistics")
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = statistics(*flat(batch.column(text_col)))
+        stats = pa.StructArray.from_arrays([pa.array(found[c].astype(np.int64)) for c in COUNTS], list(COUNTS))
+        return pa.RecordBatch.from_arrays([*batch.columns, stats], [*batch.schema.names, name])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, text_col, SLICE):
-                found = statistics(*flat(batch.column(text_col)))
-                stats = pa.StructArray.from_arrays([pa.array(found[c].astype(np.int64)) for c in COUNTS], list(COUNTS))
-                yield pa.RecordBatch.from_arrays([*batch.columns, stats], [*batch.schema.names, name])
+        return by_slice(batches, text_col, SLICE, one)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(count, T.StructType([*docs.schema.fields, T.StructField(name, STATS_TYPE)]))
 
 

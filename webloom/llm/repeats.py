@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import byte_values, flat, mix, owner_of, partitions, prefix, ragged, release, sized, sliding, slices, spans_hash, stage, windows_hash, word_hashes, word_spans
+from webloom.llm.common import byte_values, flat, mix, owner_of, partitions, prefix, ragged, release, sized, sliding, slices, small_batches, spans_hash, stage, windows_hash, word_hashes, word_spans
 
 SLICE = 2 << 20
 #: Text bytes that a batch gathers before it sends.
@@ -124,6 +124,7 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
 def flagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, k2, text, first, copies): an id and a text hash stand for a row; `first` is the least id of the rows with
     this text and `copies` their number, where there are several.  Only groups of several rows are joined."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumns({"k2": F.hash("text"), "t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(1))})
     groups = rows.groupBy("t1", "t2").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
