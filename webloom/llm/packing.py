@@ -5,8 +5,9 @@ other, a bitset subset-sum dynamic programme over the lengths still in stock fin
 that holds the largest length; that combination leaves the stock as often as the stock allows.  So the plan is a short
 list of patterns, each with a repeat count, and a piece finds its bin from its rank among the pieces of its length.
 
-Defined results: a null or empty text is the closing id alone; repeated rows are packed each; an empty table gives an
-empty result; other columns are ignored.
+Defined results: a null or empty text is the closing id alone; pieces of one length are ranked by id, piece and checksum,
+and those alike in all three are interchangeable; repeated rows are packed each; a text of any length is encoded whole; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import byte_values, flat, prefix, ragged, slices, spans_hash, stage
+from webloom.llm.common import by_slice, byte_values, flat, prefix, ragged, release, small_batches, spans_hash, stage
 
 SIZE = 2048
-SLICE = 6 << 20
+SLICE = 2 << 20
+#: Segments that one call of the tokenizer gets as one text.
+JOINED = 2_000
 #: Distinct text segments whose ids a worker keeps from slice to slice.
 CACHE = 600_000
 
@@ -56,17 +59,48 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a byte-level token has a character a byte
+        self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        found = [x.ids for lo in range(0, len(texts), 20_000) for x in self.tokenizer.encode_batch(texts[lo : lo + 20_000], add_special_tokens=False)]
+    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has: each encoded by itself."""
+        found = [x.ids for lo in range(0, len(texts), 5_000) for x in self.tokenizer.encode_batch_fast(texts[lo : lo + 5_000], add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, many as one text, where a token ends between any two of them."""
+        groups = [texts[lo : lo + JOINED] for lo in range(0, len(texts), JOINED)]
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            own = np.array(found.ids, np.uint32)
+            ends = np.cumsum(self.n_bytes[own])
+            want = np.cumsum(np.fromiter((len(t.encode()) for t in group), np.int64, len(group)))
+            at = np.searchsorted(ends, want)
+            if not len(ends) or ends[-1] != want[-1] or (ends[at] != want).any():
+                own, counts = self._apart(group)
+            else:
+                counts = np.diff(at + 1, prepend=0)
+            ids.append(own)
+            lengths.append(counts)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        # a text that begins with a space can follow one that ends in no white space; added tokens may take both in
+        joins = np.fromiter((t[0] == " " and t == t.rstrip() and not any(a in t for a in self.added) for t in texts), bool, len(texts))
+        parts = [(np.flatnonzero(own), encode) for own, encode in ((joins, self._together), (~joins, self._apart))]
+        keys = keys[np.concatenate([at for at, _ in parts])]
+        found = [encode([texts[i] for i in at.tolist()]) for at, encode in parts]
+        ids, lengths = (np.concatenate(x) for x in zip(*found, strict=True))
         starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
         order = np.argsort(all_keys := np.concatenate([self.keys, keys]), kind="stable")
         self.keys, self.starts, self.lengths = all_keys[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.lengths, lengths])[order]
 
@@ -106,25 +140,29 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE):
-                data, at = flat(batch.column("text"))
-                ids, begin = encoder(vocabulary).encode(data, at)
-                counts = np.diff(begin) + 1
-                closed = np.full(counts.sum(), close, "<u4")
-                starts = np.cumsum(counts) - counts
-                closed[ragged(starts, counts - 1)] = ids
-                n = -(-counts // size)
-                doc = np.repeat(np.arange(len(counts)), n)
-                piece = ragged(np.zeros(len(n), np.int64), n)
-                head = counts - size * (n - 1)
-                start = np.where(piece == 0, 0, head[doc] + (piece - 1) * size)
-                length = np.where(piece == 0, head[doc], size)
-                raw = memoryview(closed).cast("B")
-                lo = 4 * (starts[doc] + start)
-                crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(lo.tolist(), (lo + 4 * length).tolist(), strict=True)), np.int64, len(lo))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["id", "piece", "start", "length", "crc"])
-
+        yield from by_slice(batches, "text", SLICE, one)
+        encoder.cache_clear()  # the worker lives on, and other tasks need its memory
+        release()
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, at = flat(batch.column("text"))
+        ids, begin = encoder(vocabulary).encode(data, at)
+        counts = np.diff(begin) + 1
+        closed = np.full(counts.sum(), close, "<u4")
+        starts = np.cumsum(counts) - counts
+        closed[ragged(starts, counts - 1)] = ids
+        n = -(-counts // size)
+        doc = np.repeat(np.arange(len(counts)), n)
+        piece = ragged(np.zeros(len(n), np.int64), n)
+        head = counts - size * (n - 1)
+        start = np.where(piece == 0, 0, head[doc] + (piece - 1) * size)
+        length = np.where(piece == 0, head[doc], size)
+        raw = memoryview(closed).cast("B")
+        lo = 4 * (starts[doc] + start)
+        crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(lo.tolist(), (lo + 4 * length).tolist(), strict=True)), np.int64, len(lo))
+        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["id", "piece", "start", "length", "crc"])
+
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {kind}, piece int, start long, length long, crc long")
 
@@ -189,7 +227,7 @@ def ranges(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "times", "bin", "offset"), table.T, strict=True))
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, close: int = 0, part_rows: int = 1_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, close: int = 0, part_rows: int = 250) -> DataFrame:
     """(id, piece, start, length, crc, sequence, offset).  Only the histogram of lengths comes to the driver."""
     cut = stage(pieces(docs, vocabulary, id_col, text_col, size, close), "pieces")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
