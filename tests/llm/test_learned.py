@@ -120,9 +120,8 @@ def test_candidates_reach_recall_of_brute_force(spark):
     idf = decontaminate.inverse_frequency(counts)
     asked = [(k, decontaminate.terms(*flat(pa.array([" ".join(i)])))[0]) for k, i in enumerate(items)]
     space = decontaminate.fit(spark, asked, [], idf, counts)
-    flags = np.ones(1 << 20, bool)
     found = set()
-    for d, at, item in decontaminate.candidates(h, begin, idf, space, flags, decontaminate.COSINE):
+    for d, at, item in decontaminate.candidates(h, begin, idf, space, decontaminate.COSINE):
         found |= set(zip(d.tolist(), at.tolist(), item.tolist(), strict=True))
     weight = lambda x: idf[(np.array(x, np.uint64) >> np.uint64(46)).astype(np.int64)]
     true = set()
