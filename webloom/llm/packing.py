@@ -35,6 +35,11 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 
 
+def _may_be_white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the byte at each place, two at least before it, may end a white space character that is not ASCII."""
+    return (data[at - 1] == 0xC2) & ((data[at] == 0x85) | (data[at] == 0xA0)) | (data[at - 2] >= 0xE1) & (data[at - 2] <= 0xE3)
+
+
 def segments(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Starts of segments that byte-level BPE encodes on their own: a cut is before a space or line end that follows no
     white space, where the vocabulary's pre-tokeniser always ends a token.  Bytes that may close a non-ASCII white
@@ -75,29 +80,29 @@ class Encoder:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths
 
-    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _together(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The same, many as one text, where a token ends between any two of them."""
         groups = [texts[lo : lo + JOINED] for lo in range(0, len(texts), JOINED)]
         ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        joined = [b"".join(g).decode("utf-8", "replace") for g in groups]
+        for group, text, found in zip(groups, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             own = np.array(found.ids, np.uint32)
             ends = np.cumsum(self.n_bytes[own])
-            want = np.cumsum(np.fromiter((len(t.encode()) for t in group), np.int64, len(group)))
-            at = np.searchsorted(ends, want)
-            if not len(ends) or ends[-1] != want[-1] or (ends[at] != want).any():
-                own, counts = self._apart(group)
+            want = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))
+            at = np.minimum(np.searchsorted(ends, want), max(0, len(ends) - 1))
+            if not len(ends) or (ends[at] != want).any() or any(t in text for t in self.added):  # added tokens may take spaces in
+                own, counts = self._apart([t.decode("utf-8", "replace") for t in group])
             else:
                 counts = np.diff(at + 1, prepend=0)
             ids.append(own)
             lengths.append(counts)
         return np.concatenate(ids), np.concatenate(lengths)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        # a text that begins with a space can follow one that ends in no white space; added tokens may take both in
-        joins = np.fromiter((t[0] == " " and t == t.rstrip() and not any(a in t for a in self.added) for t in texts), bool, len(texts))
-        parts = [(np.flatnonzero(own), encode) for own, encode in ((joins, self._together), (~joins, self._apart))]
-        keys = keys[np.concatenate([at for at, _ in parts])]
-        found = [encode([texts[i] for i in at.tolist()]) for at, encode in parts]
+    def _learn(self, keys: np.ndarray, texts: list[bytes], joins: np.ndarray) -> None:
+        """`joins` says which texts begin with a space and end in no white space, so that such texts can follow each other."""
+        own, rest = np.flatnonzero(joins), np.flatnonzero(~joins)
+        found = [self._together([texts[i] for i in own.tolist()]), self._apart([texts[i].decode("utf-8", "replace") for i in rest.tolist()])]
+        keys = keys[np.concatenate([own, rest])]
         ids, lengths = (np.concatenate(x) for x in zip(*found, strict=True))
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.ids = np.concatenate([self.ids, ids])
@@ -118,8 +123,9 @@ class Encoder:
             if len(self.keys) + new.sum() > CACHE:  # all that this slice has is learned at once, whatever its number
                 self.clear()
                 new[:] = True
-            raw = data.tobytes()
-            self._learn(keys[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]])
+            raw, lo, hi = data.tobytes(), starts[first[new]], ends[first[new]]
+            joins = (data[lo] == 0x20) & (hi - lo > 3) & ~_WHITE[data[hi - 1]] & ~_may_be_white(data, hi - 1)
+            self._learn(keys[new], [raw[a:z] for a, z in zip(lo.tolist(), hi.tolist(), strict=True)], joins)
         pos = np.searchsorted(self.keys, keys)[back]
         lengths = self.lengths[pos]
         ids = self.ids[ragged(self.starts[pos], lengths)]
