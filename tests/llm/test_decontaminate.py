@@ -140,3 +140,30 @@ def test_several_passes_give_the_result_of_one(spark, monkeypatch):
     one, left = verdicts(), Counter(decontaminate.drop(docs, bench).collect())
     monkeypatch.setattr(decontaminate, "PASS", 3)
     assert verdicts() == one and Counter(decontaminate.drop(docs, bench).collect()) == left and sum(one.values()) == 44
+
+
+def test_latent_spaces_are_fitted_on_all_passages_of_all_documents(spark, monkeypatch):
+    """What the spaces get is the second moment of every passage, far more documents than a bounded sample had."""
+    rng = random.Random(11)
+    items, seen, fit = [words(rng, 25) for _ in range(6)], [], decontaminate.fit
+    own = sorted({w for i in items for w in i})
+    docs = [[rng.choice(own) if rng.random() < 0.5 else words(rng, 1)[0] for _ in range(rng.randrange(0, 150))] for _ in range(700)]
+    table = spark.createDataFrame([*((k, " ".join(d)) for k, d in enumerate(docs)), (700, None)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "fit", lambda spark, some, corpus, idf, counts: seen.append((corpus, idf)) or fit(spark, some, corpus, idf, counts))
+    monkeypatch.setattr(decontaminate, "DENSE", 30)
+    for run in (decontaminate.search, decontaminate.drop):
+        assert run(table, bench).count() > 0
+        (corpus, idf), known = seen.pop(), np.unique(decontaminate.terms(*flat(pa.array([" ".join(own)])))[0])
+        want, n = np.zeros((len(known), len(known))), 0
+        for d in docs:
+            h, _ = decontaminate.terms(*flat(pa.array([" ".join(d)])))
+            for at in [0] if 0 < len(h) <= 16 else range(0, len(h) - 16, 16):
+                passage = h[at : at + 32]
+                x = idf[(passage >> np.uint64(46)).astype(np.int64)].astype(float)
+                row = np.array([x[passage == t].sum() for t in known])
+                want += np.outer(row, row) / (x @ x)
+                n += 1
+        assert n > 2000 and all((t == known).all() for t, _ in corpus)
+        got = sum(np.outer(x, x) for _, x in corpus)
+        assert np.abs(got - decontaminate.CORPUS * want / n).max() < 1e-3 * got.max()

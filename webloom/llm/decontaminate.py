@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Term counts over all documents give inverse frequencies.
-2. A randomised singular value decomposition of TF-IDF rows (the benchmark items, and a bounded sample of passages at a
-   lower weight) finds the latent directions; the products with the row matrix run as Spark tasks.
+2. A randomised singular value decomposition of TF-IDF rows (the benchmark items, and all passages of all documents, which
+   weigh `CORPUS` together) finds the latent directions; the products with the row matrix run as Spark tasks.  The
+   passages enter by a Nystrom approximation of their second moment, for which one pass over the documents is enough.
 3. Every passage of every document, two blocks of `BLOCK` words, one block apart, gets its cosine with each item in the
    latent space, over the passage's whole norm; those that reach the threshold are candidates.  A term's row times an
    item's row is the same for every passage, so it is taken once; products below `FAINT` are left out, and the threshold
@@ -14,8 +15,10 @@
    of the item; a weaker one, a paraphrase, if it also holds the item's answer, its last third.  Stretches begin at each
    eighth of the item's length.
 
-Items have one latent space for each `ITEMS` of them.  `PASS` items at a time come to the driver; each such block is one
-pass over the documents, whose slices are searched in one space after the other.
+Items have one latent space for each `ITEMS` of them, and `SHARED` items share a pass over the documents that fits their
+spaces.  `PASS` items at a time come to the driver; each such block is one more pass over the documents, whose slices are
+searched in one space after the other.  Words of no item of the space count in the norms of passages only: their products
+with items that the directions span are zero.
 
 Defined results: null and wordless texts have no passages and are clean; null or wordless items match nothing; an item
 of fewer than `SHORT` words counts only word for word; of items that match equally the one of the least id is named;
@@ -38,12 +41,16 @@ from webloom.llm.common import by_slice, byte_values, flat, prefix, ragged, rele
 
 SLICE = 2 << 20
 BLOCK = 16
-#: Items of one latent space, passages in the sample, and latent directions.  The directions must span the items, with
-#: room for the sample's: an item outside them reaches no threshold.
+#: Items of one latent space, and latent directions.  The directions must span the items, with room for the passages': an
+#: item outside them reaches no threshold.
 ITEMS = 128
-SAMPLE = 256
 RANK = 256
-SAMPLE_WEIGHT = 0.25
+#: What all passages weigh together where an item weighs 1, and the items whose spaces share their second moment.
+CORPUS = 16.0
+SHARED = 8 * ITEMS
+#: Terms whose sums travel in one row, and the most frequent ones, whose products are taken densely.
+RANGE = 16
+DENSE = 256
 #: Items of one pass over the documents.
 PASS = 64 * ITEMS
 #: Products of a term and an item that are left out, and blocks of words that are scored at a time.
@@ -161,6 +168,23 @@ class Space:
     sought: Sought
 
 
+def _sums(z: np.ndarray) -> pa.RecordBatch:
+    """A task's share of a matrix, by ranges of its rows."""
+    z = z.astype(np.float32)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(-(-len(z) // RANGE))), pa.array([z[a : a + RANGE].tobytes() for a in range(0, len(z), RANGE)])], ["range", "z"])
+
+
+def _summed(parts: DataFrame, width: int) -> np.ndarray:
+    """The matrix whose shares the rows hold; none if there are no rows."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in sorted(table["z"].to_pylist()))
+        return pa.table({"range": table["range"].slice(0, 1), "z": pa.array([total.astype(np.float32).tobytes()])})
+
+    rows = parts.groupBy("range").applyInArrow(add, "range long, z binary").orderBy("range").collect()
+    return np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r.z, np.float32) for r in rows)]).reshape(-1, width)
+
+
 def decompose(spark: SparkSession, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, rank: int, rounds: int = 2, parts: int = 8) -> np.ndarray:
     """Orthonormal columns that span the leading right singular vectors of the sparse rows (term numbers, values).
 
@@ -171,8 +195,6 @@ def decompose(spark: SparkSession, rows: list[tuple[np.ndarray, np.ndarray]], n_
     v = np.linalg.qr(np.random.default_rng(7).standard_normal((n_terms, width)))[0].astype(np.float32)
     kind = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("terms", T.BinaryType()), T.StructField("values", T.BinaryType())])
     table = spark.createDataFrame([(k % parts, bytearray(t.astype(np.int64).tobytes()), bytearray(x.astype(np.float32).tobytes())) for k, (t, x) in enumerate(rows)], kind).repartition(parts, "part")
-    n_ranges = 8
-    edges = np.linspace(0, n_terms, n_ranges + 1).astype(int)
     for _ in range(rounds):
 
         def multiply(batches: Iterator[pa.RecordBatch], v=v) -> Iterator[pa.RecordBatch]:
@@ -183,36 +205,96 @@ def decompose(spark: SparkSession, rows: list[tuple[np.ndarray, np.ndarray]], n_
                     t, x = np.frombuffer(t, np.int64), np.frombuffer(x, np.float32)
                     z[t] += np.outer(x, x @ v[t])
             if z is not None:  # parts without rows send nothing
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_ranges)), pa.array([z[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)])], ["range", "z"])
-
-        def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table["z"].to_pylist())
-            return pa.table({"range": table["range"].slice(0, 1), "z": pa.array([total.astype(np.float32).tobytes()])})
+                yield _sums(z)
 
-        summed = table.mapInArrow(multiply, "range long, z binary").groupBy("range").applyInArrow(add, "range long, z binary").orderBy("range").collect()
-        z = np.concatenate([np.frombuffer(r.z, np.float32) for r in summed]).reshape(n_terms, width)
-        v = np.linalg.qr(z.astype(np.float64))[0].astype(np.float32)
+        v = np.linalg.qr(_summed(table.mapInArrow(multiply, "range long, z binary"), width).astype(np.float64))[0].astype(np.float32)
     return v
 
 
-def sample_passages(docs: DataFrame, text_col: str, n: int, seed: int = 11) -> list[np.ndarray]:
-    """The middle passages of the n documents whose texts hash lowest."""
-    rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit(seed)).alias("h")).where("text IS NOT NULL")
-    lowest = [r.h for r in rows.select("h").distinct().orderBy("h").limit(n).collect()]
-    rows = rows.where(F.col("h").isin(lowest)).groupBy("h").agg(F.first("text").alias("text")).orderBy("h").select("text")
-    out = []
-    for batch in rows.toArrow().to_batches():
-        h, begin = terms(*flat(batch.column("text")))
-        for lo, hi in zip(begin[:-1], begin[1:], strict=True):
-            if hi > lo:
-                mid = max(lo, (lo + hi) // 2 - BLOCK)
-                out.append(h[mid : min(hi, mid + 2 * BLOCK)])
-    return out
+def _add(out: np.ndarray, to: np.ndarray, rows: np.ndarray, of: np.ndarray) -> None:
+    """out[to[k]] += rows[of[k]] for all k, those that are the n-th of their `to` at a time."""
+    order = np.argsort(to, kind="stable")
+    to, of = to[order], of[order]
+    first = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else to
+    turn = np.arange(len(to)) - np.repeat(first, np.diff(np.append(first, len(to))))
+    order, a = np.argsort(turn, kind="stable"), 0
+    for n in np.bincount(turn):
+        some = order[a : a + n]
+        out[to[some]] += np.take(rows, of[some], axis=0)
+        a += n
+
+
+def moment(h: np.ndarray, begin: np.ndarray, idf: np.ndarray, known: np.ndarray, v: np.ndarray, z: np.ndarray) -> int:
+    """Adds to z the sum of x x'v over all passages' unit rows x, but for the weights of z's own terms; v's rows have
+    theirs.  Returns how many passages there are."""
+    block, owner, more = passages_of(begin)
+    if not len(block):
+        return 0
+    x = idf[(h >> _U(64 - BITS)).astype(np.int64)].astype(np.float64)
+    norm = np.bincount(block, x * x, len(owner))
+    norm = norm + np.append(norm[1:], 0) * more
+    starts = more | np.append(True, owner[1:] != owner[:-1])
+    weight = np.divide(starts, norm, out=np.zeros(len(norm)), where=norm > 0).astype(np.float32)
+    row = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    near = np.flatnonzero(known[row] == h)
+    row, own = row[near], block[near]
+    often = np.argsort(idf[(known >> _U(64 - BITS)).astype(np.int64)], kind="stable")[:DENSE]
+    column = np.full(len(known), -1)
+    column[often] = np.arange(len(often))
+    column, v_often, z_often = column[row], v[often], np.zeros((len(often), v.shape[1]))
+    for a in range(0, len(owner), BLOCKS):
+        n = min(a + BLOCKS, len(owner)) - a
+        lo, hi = np.searchsorted(own, [a, a + n + 1])  # the last passage's second block too
+        if lo == hi:
+            continue
+        at, some, col = own[lo:hi] - a, row[lo:hi], column[lo:hi]
+        dense, rare = col >= 0, np.flatnonzero(col < 0)
+        times = np.bincount(at[dense] * len(often) + col[dense], minlength=(n + 1) * len(often)).reshape(n + 1, -1).astype(np.float32)
+        y = times @ v_often
+        _add(y, at[rare], v, some[rare])
+        pair = more[a : a + n, None]
+        passage = (y[:-1] + y[1:] * pair) * weight[a : a + n, None]
+        y[:-1], y[-1] = passage, 0
+        y[1:] += passage * pair
+        z_often += times.T @ y
+        _add(z, some[rare], y, at[rare])
+    z[often] += z_often
+    return int(starts.sum())
+
+
+def directions(docs: DataFrame, text_col: str, known: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows (terms, values) whose second moment is that of all passages of all documents in the `known` terms, as far as
+    `RANK` directions hold it, at a weight of `CORPUS`.
+
+    Nystrom approximation of the mean C of x x' over unit rows x: with Y = C V for a random V, Y (V'Y)^-1 Y'.
+    """
+    width, own = min(RANK, len(known)), idf[(known >> _U(64 - BITS)).astype(np.int64)].astype(np.float64)[:, None]
+    v = np.linalg.qr(np.random.default_rng(11).standard_normal((len(known), width)))[0]
+    scaled = (v * own).astype(np.float32)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, n = np.zeros((len(known) + 1, width)), 0
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                n += moment(*terms(*flat(batch.column("text"))), idf, known, scaled, z)
+        z[-1] = n
+        release()
+        if n:
+            yield _sums(z)
+
+    z = _summed(docs.select(F.col(text_col).alias("text")).mapInArrow(multiply, "range long, z binary"), width).astype(np.float64)
+    if not len(z):
+        return []
+    y = z[:-1] * own / z[-1, 0]
+    core, turn = np.linalg.eigh((v.T @ y + y.T @ v) / 2)
+    kept = core > 1e-6 * core.max()  # below, they are sums' rounding
+    rows = np.sqrt(CORPUS) * (y @ (turn[:, kept] / np.sqrt(core[kept])))
+    return [(known, r) for r in rows.T]
 
 
-def fit(spark: SparkSession, items: list[tuple], passages: list[np.ndarray], idf: np.ndarray, counts: np.ndarray) -> Space:
-    """`items`: (id, hashes of its words)."""
-    known = np.unique(np.concatenate([h for _, h in items] + passages))
+def fit(spark: SparkSession, items: list[tuple], corpus: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, counts: np.ndarray) -> Space:
+    """`items`: (id, hashes of its words); `corpus`: rows (terms, values), of the items' terms among others."""
+    known = np.unique(np.concatenate([h for _, h in items]))
 
     def vector(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = idf[(h >> _U(64 - BITS)).astype(np.int64)]
@@ -220,7 +302,7 @@ def fit(spark: SparkSession, items: list[tuple], passages: list[np.ndarray], idf
         return t, (np.bincount(back, x) / max(1e-9, float(np.sqrt((x.astype(float) ** 2).sum())))).astype(np.float32)
 
     own = [vector(h) for _, h in items]
-    others = [(t, x * SAMPLE_WEIGHT) for t, x in map(vector, passages)]
+    others = [(np.arange(len(known)), x[np.searchsorted(t, known)]) for t, x in corpus]
     v = decompose(spark, own + others, len(known), RANK)
     product = v @ np.stack([x @ v[t] for t, x in own]).T
     term, item = np.nonzero(np.abs(product) >= FAINT)
@@ -390,10 +472,14 @@ def _passes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     small_batches(spark)
     counts = term_counts(docs, text_col)
     idf = inverse_frequency(counts)
-    passages, some = sample_passages(docs, text_col, SAMPLE), False
+    some = False
     for items in _item_blocks(benchmark, item_col, item_text_col, PASS):
-        some = True
-        yield idf, [fit(spark, items[a : a + ITEMS], passages, idf, counts) for a in range(0, len(items), ITEMS)]
+        some, spaces = True, []
+        for a in range(0, len(items), SHARED):
+            group = items[a : a + SHARED]
+            corpus = directions(docs, text_col, np.unique(np.concatenate([h for _, h in group])), idf)
+            spaces += [fit(spark, group[k : k + ITEMS], corpus, idf, counts) for k in range(0, len(group), ITEMS)]
+        yield idf, spaces
     if not some:
         yield idf, []
 
