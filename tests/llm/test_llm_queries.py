@@ -72,6 +72,19 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in packed} == kept
 
 
+def test_pipeline_fits_latent_spaces_on_every_passage(spark, tmp_path, monkeypatch):
+    """Words of items that only the last passage of one document holds are in the fit, with their weight."""
+    marks, fit, seen = [f"mark{k}" for k in range(20)], decontaminate.fit, []
+    docs = [(k, " ".join([*(f"w{k}x{j}" for j in range(100)), marks[k]])) for k in range(20)]
+    spark.createDataFrame([(0, " ".join(marks))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    monkeypatch.setattr(decontaminate, "fit", lambda spark, items, corpus, *more: seen.append(corpus) or fit(spark, items, corpus, *more))
+    left = corpus_pipeline.decontamination(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    assert left.count() == 20
+    weight = sum(values**2 for _, values in seen[0]) / decontaminate.CORPUS
+    # of 6 passages of each document one holds its mark, among 21 words of about one frequency (words share counts)
+    assert len(weight) == 20 and max(abs(weight * 20 * 6 * 21 - 1)) < 0.2, weight * 20 * 6 * 21
+
+
 def test_stages_on_odd_tables(spark, tmp_path):
     """Empty tables, null ids, repeated rows, clashing columns, no labels and no benchmark."""
     schema = "doc_id long, text string, id long, stats int, __stats int, __found int, node long"
