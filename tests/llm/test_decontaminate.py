@@ -167,3 +167,43 @@ def test_latent_spaces_are_fitted_on_all_passages_of_all_documents(spark, monkey
         assert n > 2000 and all((t == known).all() for t, _ in corpus)
         got = sum(np.outer(x, x) for _, x in corpus)
         assert np.abs(got - decontaminate.CORPUS * want / n).max() < 1e-3 * got.max()
+
+
+def test_words_are_found_whatever_bits_they_share():
+    """Keys that share their leading bits, the least and the largest hash, and none at all."""
+    rng = np.random.default_rng(12)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500, np.uint64), (np.uint64(77) << np.uint64(48)) + np.arange(0, 90, 3, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)]))
+    h = np.concatenate([rng.choice(keys, 3000), rng.integers(0, 1 << 63, 3000, np.uint64), (np.uint64(77) << np.uint64(48)) + np.arange(90, dtype=np.uint64)])
+    for some in (keys, keys[:0]):
+        near, row = decontaminate.find(some, h)
+        assert (near == np.flatnonzero(np.isin(h, some))).all() and (some[row] == h[near]).all()
+
+
+def test_only_stretches_that_hold_enough_of_an_item_are_judged(spark, monkeypatch):
+    """The words that candidates hold are counted for many at once, each word once however often it comes."""
+    rng = random.Random(13)
+    often = words(rng, 30)
+    items = [[rng.choice(often) if rng.random() < 0.6 else w for w in words(rng, n)] for n in (4, 8, 12, 20, 36, 36, 90)]
+    docs = [[rng.choice(often + rng.choice(items)) for _ in range(rng.randrange(0, 200))] for _ in range(80)] + [i + i for i in items]
+    h, begin = decontaminate.terms(*flat(pa.array([" ".join(d) for d in docs])))
+    own = [(k, decontaminate.terms(*flat(pa.array([" ".join(i)])))[0]) for k, i in enumerate(items)]
+    counts = np.bincount((h >> np.uint64(46)).astype(np.int64), minlength=1 << decontaminate.BITS)
+    idf = decontaminate.inverse_frequency(counts)
+    space, asked, judge = decontaminate.fit(spark, own, [], idf, counts), [], decontaminate.judge
+    monkeypatch.setattr(decontaminate, "STRETCHES", 40)
+    monkeypatch.setattr(decontaminate, "HITS", 500)
+    known = decontaminate.Known.of(decontaminate.item_words([space]), h)
+    before = np.array([max((p for p in range(at) if h[p] == h[at]), default=-1) for at in known.spot.tolist()])
+    rows = [np.array(c) for c in zip(*[(rng.randrange(len(docs)), rng.randrange(-40, 150), rng.randrange(0, 200), rng.randrange(len(items))) for _ in range(3000)], strict=True)]
+    n = 0
+    for some, held in decontaminate.holding(begin, space, known, before, iter([tuple(r[:1700] for r in rows), tuple(r[1700:] for r in rows)])):
+        for d, first, last, item, got in zip(*(c.tolist() for c in some), held.tolist(), strict=True):
+            size = len(items[item])
+            there = set(h[begin[d] + max(0, first) : max(begin[d] + max(0, first), min(begin[d] + last + decontaminate.stretch_width(size), begin[d + 1]))].tolist())
+            assert got == (sum(w in there for w in space.words[item]) >= decontaminate.least_common(size))
+            n += got
+    assert 100 < n < 2900
+    monkeypatch.setattr(decontaminate, "judge", lambda text, item, lo, hi: asked.append((set(text.tolist()), item)) or judge(text, item, lo, hi))
+    met, best = decontaminate._look(h, begin, idf, [space], decontaminate.COSINE)
+    assert all(sum(w in text for w in item) >= decontaminate.least_common(len(item)) for text, item in asked)
+    assert {d for d, b in best.items() if b[0]} == {k for k, doc in enumerate(docs) if any(holds(doc, i) for i in items)} and 0 < len(asked) < met.sum()
