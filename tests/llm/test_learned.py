@@ -50,6 +50,36 @@ def test_rules_on_held_out_rows(spark):
     assert np.mean([r.out == (r.doc_id % 5 == 0) for r in judged]) > 0.97
 
 
+def test_all_labelled_rows_teach(spark):
+    """Of 20,300 labels only those whose ids hash highest are bad."""
+    rows = spark.range(20_300).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"))
+    last = rows.orderBy(F.desc("h")).limit(90).agg(F.min("h")).first()[0]
+    bad = F.col("h") >= last
+    docs = rows.select("doc_id", F.concat_ws(" ", F.lit("a b c"), F.col("doc_id"), F.when(bad, "***")).alias("text"))
+    rules = quality_rules.fit(docs, rows.select("doc_id", (~bad).cast("int").alias("quality")))
+    judged = quality_rules.with_statistics(docs).where(quality_rules.rejected(rules)).select("doc_id")
+    assert {r.doc_id for r in judged.collect()} == {r.doc_id for r in rows.where(bad).collect()}
+
+
+def test_rules_are_those_of_counting_every_row(spark):
+    """Sums by slots, over several partitions, rules and tests, against the rows themselves."""
+    rng = np.random.default_rng(3)
+    x = {f: np.round(rng.gamma(2, 3, 500), 2) for f in quality_rules.FEATURES}
+    bad, prune = rng.random(500) < 0.4, rng.random(500) < 0.3
+    rows = spark.createDataFrame([(*(float(x[f][k]) for f in x), bool(bad[k]), bool(prune[k])) for k in range(500)], [*x, "bad", "prune"]).repartition(5)
+    rules = [quality_rules.Learned((quality_rules.Test("words", True, 9.0),), 1.0)]
+    tests = [quality_rules.Test("stops_per_word", False, 8.0), quality_rules.Test("digit_share", True, 2.0)]
+    seen, left = quality_rules.tally(rows, rules, tests), x["words"] < 9.0
+    first = x["stops_per_word"] <= 8.0
+    both = first & (x["digit_share"] >= 2.0)
+    assert seen.judged.tolist() == [[int((left & prune & h & bad).sum()), int((left & prune & h).sum())] for h in (np.ones(500, bool), first, both)]
+    own = left & ~prune & both
+    assert (seen.bad, seen.good) == ((own & bad).sum(), (own & ~bad).sum())
+    for f, slots in seen.slots.items():
+        spread = [(own & (x[f] >= lo) & (x[f] <= hi)) for lo, hi in slots[:, 2:]]
+        assert [[(s & bad).sum(), s.sum()] for s in spread] == slots[:, :2].tolist() and sum(s.sum() for s in spread) == own.sum()
+
+
 def test_no_labels_and_odd_rows(spark):
     docs, labels = labelled(spark, 40)
     assert quality_rules.fit(docs, labels.where("false")) == [] == quality_rules.fit(docs, labels.withColumn("quality", F.lit(None).cast("int")))

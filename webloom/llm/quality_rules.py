@@ -3,7 +3,8 @@
 Sequential covering learns, from labelled documents, an ordered list of conjunctions of thresholds on text statistics.
 Each rule grows on two thirds of the labelled rows, taking the threshold with the best information gain until it covers
 no good document, and is pruned on the last third; a rule that is not precise enough there ends the list.  The list
-becomes one ordered conditional expression over columns of statistics.
+becomes one ordered conditional expression over columns of statistics.  All labelled rows teach: their features stay in
+Spark, and each step is one pass that counts them by slots of values, between which thresholds lie.
 
 Defined results: a null text has no words; a text without words has zero for every statistic; rows with null or
 without labels teach nothing, and without any rule the method keeps everything; of thresholds with equal gains the first
@@ -24,9 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import by_slice, byte_values, flat, mix, prefix, small_batches, spans_hash, windows_hash, word_spans
+from webloom.llm.common import by_slice, byte_values, flat, mix, prefix, sized, small_batches, spans_hash, stage, windows_hash, word_spans
 
 SLICE = 2 << 20
+#: Values of a feature whose leading bits, so many of the mantissa, are equal share a slot; cuts lie between slots.
+MANTISSA = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_upper", "n_digits", "n_lines", "n_stops", "n_distinct")
 STATS_TYPE = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 _SYMBOL, _UPPER, _DIGIT, _STOP = (np.zeros(256, bool) for _ in range(4))
@@ -159,50 +162,93 @@ def _covers(tests, x: dict[str, np.ndarray]) -> np.ndarray:
     return held
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: int, most: int) -> list[Test]:
-    tests: list[Test] = []
-    inside = np.ones(len(bad), bool)
-    while len(tests) < most and (~bad & inside).any():
-        p0, n0 = (bad & inside).sum(), (~bad & inside).sum()
-        base, best = math.log2(p0 / (p0 + n0)), (0.0, None)
-        for name, values in x.items():
-            own, mark = values[inside], bad[inside]
-            order = np.argsort(own, kind="stable")
-            v, up = own[order], np.cumsum(mark[order])
-            edge = np.flatnonzero(v[1:] > v[:-1])  # a cut between two values
-            if len(edge) > cuts:
-                edge = edge[np.linspace(0, len(edge) - 1, cuts).astype(int)]
-            for at_least in (False, True):
-                p = up[edge] if not at_least else p0 - up[edge]
-                total = edge + 1 if not at_least else len(v) - edge - 1
-                with np.errstate(divide="ignore"):
-                    gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1) / total) - base), 0)
-                if len(gain) and gain.max() > best[0] + 1e-9:
-                    k = edge[int(gain.argmax())]
-                    best = (float(gain.max()), Test(name, at_least, float((v[k] + v[k + 1]) / 2)))
-        if best[1] is None:
-            break
-        tests.append(best[1])
-        inside &= best[1].holds(x)
-    return tests
+@dataclass(frozen=True)
+class Tally:
+    """Of the rows that grow a rule, for each feature the bad and all rows and the least and largest value of each slot of
+    values, in order; of the rows that prune it, the bad and all ones for which the first 0, 1, ... tests hold."""
+
+    slots: dict[str, np.ndarray]
+    judged: np.ndarray
+
+    @property
+    def bad(self) -> int:
+        return int(next(iter(self.slots.values()))[:, 0].sum())
+
+    @property
+    def good(self) -> int:
+        return int(next(iter(self.slots.values()))[:, 1].sum()) - self.bad
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, precision: float = 0.9, least: int = 3, cuts: int = 400, most_tests: int = 5, most_rules: int = 24) -> list[Learned]:
+def tally(rows: DataFrame, rules: list[Learned], tests: list[Test]) -> Tally:
+    """One pass over all rows (columns of FEATURES, bad, prune) that no rule covers yet; tasks return sums by slot."""
+    names = list(FEATURES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {f: batch.column(f).to_numpy() + 0.0 for f in names}
+            bad, prune = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bad", "prune"))
+            left = np.ones(len(bad), bool)
+            for rule in rules:
+                left &= ~_covers(rule.tests, x)
+            parts = []
+            for n in range(len(tests) + 1):
+                held = left & prune & _covers(tests[:n], x)
+                parts.append(([-1], [n], [(bad & held).sum()], [held.sum()], [0.0], [0.0]))
+            own = left & ~prune & _covers(tests, x)
+            for k, f in enumerate(names):
+                order = np.argsort(x[f][own], kind="stable")
+                v, mark = x[f][own][order], bad[own][order]
+                slot = (v.view(np.uint64) >> np.uint64(52 - MANTISSA)).astype(np.int64)  # of no negative values, so in order
+                first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(v) else np.zeros(0, np.int64)
+                n = np.diff(np.append(first, len(v)))
+                p = np.diff(np.append(0, np.cumsum(mark))[np.append(first, len(v))])
+                parts.append((np.full(len(first), k), slot[first], p, n, v[first], v[first + n - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(c, t) for c in column])) for column, t in zip(zip(*parts, strict=True), [np.int64] * 4 + [float] * 2, strict=True)], ["feature", "slot", "p", "n", "lo", "hi"])
+
+    sums = rows.mapInArrow(count, "feature long, slot long, p long, n long, lo double, hi double").groupBy("feature", "slot")
+    seen = sums.agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas().sort_values(["feature", "slot"])
+    part = lambda k: seen[seen["feature"] == k][["p", "n", "lo", "hi"]].to_numpy(float)
+    return Tally({f: part(k) for k, f in enumerate(names)}, part(-1)[:, :2].astype(np.int64))
+
+
+def _cut(seen: Tally, cuts: int) -> Test | None:
+    """The test with the best information gain, if any has one."""
+    p0, n0 = seen.bad, seen.good
+    base, best = math.log2(p0 / (p0 + n0)), (0.0, None)
+    for name, slots in seen.slots.items():
+        up, below = np.cumsum(slots[:, 0]), np.cumsum(slots[:, 1])
+        edge = np.arange(len(slots) - 1)  # a cut between two slots
+        if len(edge) > cuts:
+            edge = edge[np.linspace(0, len(edge) - 1, cuts).astype(int)]
+        for at_least in (False, True):
+            p = up[edge] if not at_least else p0 - up[edge]
+            total = below[edge] if not at_least else below[-1] - below[edge]
+            with np.errstate(divide="ignore"):
+                gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1) / total) - base), 0)
+            if len(gain) and gain.max() > best[0] + 1e-9:
+                k = edge[int(gain.argmax())]
+                best = (float(gain.max()), Test(name, at_least, float((slots[k, 3] + slots[k + 1, 2]) / 2)))
+    return best[1]
+
+
+def learn(rows: DataFrame, precision: float = 0.9, least: int = 3, cuts: int = 400, most_tests: int = 5, most_rules: int = 24) -> list[Learned]:
     """Ordered rules that reject.  `prune` marks the rows kept for pruning."""
     rules: list[Learned] = []
-    left = np.ones(len(bad), bool)
     while len(rules) < most_rules:
-        growing, judging = left & ~prune, left & prune
-        if (bad & growing).sum() < least:
+        tests, seen = [], tally(rows, rules, [])
+        if seen.bad < least:
             break
-        tests = _grow({k: v[growing] for k, v in x.items()}, bad[growing], cuts, most_tests)
+        while len(tests) < most_tests and seen.good:
+            test = _cut(seen, cuts)
+            if test is None:
+                break
+            tests.append(test)
+            seen = tally(rows, rules, tests)
         if not tests:
             break
-        own = {k: v[judging] for k, v in x.items()}
 
-        def worth(n: int) -> tuple[float, int, float]:
-            held = _covers(tests[:n], own)
-            p, total = int((bad[judging] & held).sum()), int(held.sum())
+        def worth(n: int, judged: np.ndarray = seen.judged) -> tuple[float, int, float]:
+            p, total = judged[n].tolist()
             return (2 * p - total) / total if total else -1.0, p, p / total if total else 0.0
 
         n = max(range(1, len(tests) + 1), key=lambda n: (worth(n)[0], n and worth(n)[1], -n))
@@ -210,7 +256,6 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, precisio
         if p < 1 or exact < precision:
             break
         rules.append(Learned(tuple(tests[:n]), exact))
-        left &= ~_covers(tests[:n], x)
     return rules
 
 
@@ -232,15 +277,17 @@ def base_failed(stats: str = "stats") -> Column:
     return (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labels: int = 20_000, **options) -> list[Learned]:
-    """Learns from at most `most_labels` labelled rows, those whose ids hash lowest; the driver gets their features."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> list[Learned]:
+    """Learns from all labelled rows, whose features stay in Spark: the driver gets sums by slots of values."""
     taught = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    taught = taught.orderBy(F.xxhash64("id"), "label").limit(most_labels)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taught), "id")
-    rows = with_statistics(own).select("id", "label", *[feature(f, "stats").alias(f) for f in FEATURES]).toPandas()
-    if rows.empty:
-        return []
-    rows = rows.sort_values(["id", "label"], kind="stable")
-    x = {f: rows[f].to_numpy(float) for f in FEATURES}
-    spread = mix(rows["id"].to_numpy(np.int64).astype(np.uint64)) % np.uint64(3) == 0
-    return learn(x, rows["label"].to_numpy() == 0, spread, **options)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    rows = with_statistics(own).select("id", *[feature(f, "stats").alias(f) for f in FEATURES]).join(sized(taught, taught.count(), 16), "id")
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prune = mix(batch.column("id").cast(pa.int64()).to_numpy().astype(np.uint64)) % np.uint64(3) == 0
+            bad = batch.column("label").to_numpy() == 0
+            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in FEATURES), pa.array(bad), pa.array(prune)], [*FEATURES, "bad", "prune"])
+
+    kind = T.StructType([*(T.StructField(f, T.DoubleType()) for f in FEATURES), T.StructField("bad", T.BooleanType()), T.StructField("prune", T.BooleanType())])
+    return learn(stage(rows.mapInArrow(dealt, kind), "labelled"), **options)
