@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from webloom.session import kept as stage
 from webloom.session import shared_dir
 
-__all__ = ["SPACES", "WORD", "by_slice", "byte_values", "flat", "mix", "owner_of", "partitions", "prefix", "ragged", "release", "shared_dir", "sized", "slices", "sliding", "small_batches", "spans_hash", "stage", "windows_hash", "word_hashes", "word_spans"]
+__all__ = ["SPACES", "WORD", "by_slice", "byte_values", "bytes_hash", "flat", "mix", "owner_of", "partitions", "prefix", "ragged", "release", "shared_dir", "sized", "slices", "sliding", "small_batches", "spans_hash", "stage", "windows_hash", "word_hashes", "word_spans"]
 
 #: Words are runs of anything but these bytes, in every operator on words.
 SPACES = (0x20, *range(0x09, 0x0E))
@@ -171,6 +171,22 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTES[data]
 
 
+#: Bytes whose sums `bytes_hash` holds at a time.
+STRETCH = 1 << 18
+
+
+def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTES) -> np.ndarray:
+    """`spans_hash` of runs of bytes that follow each other, each byte by its value; sums are of a stretch of the bytes
+    at a time, or of one run that is longer, since they take many times the bytes' memory."""
+    out, lo = np.empty(len(starts), np.uint64), 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + STRETCH, "right")))
+        base = starts[lo]
+        out[lo:hi] = spans_hash(prefix(values[data[base : ends[hi - 1]]]), starts[lo:hi] - base, ends[lo:hi] - base)
+        lo = hi
+    return out
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return spans_hash(prefix(byte_values(data)), starts, ends)
 

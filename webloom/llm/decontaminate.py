@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import by_slice, byte_values, flat, prefix, ragged, release, slices, small_batches, spans_hash, stage, word_spans
+from webloom.llm.common import by_slice, byte_values, bytes_hash, flat, ragged, release, slices, small_batches, stage, word_spans
 
 SLICE = 2 << 20
 BLOCK = 16
@@ -94,7 +94,7 @@ def terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             ends = np.where(kept, moved + 1, ends)
         else:
             starts = np.where(kept, moved, starts)
-    return spans_hash(prefix(_LOWER[data]), starts, ends), begin
+    return bytes_hash(data, starts, ends, _LOWER), begin
 
 
 def find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,8 +216,8 @@ def decompose(spark: SparkSession, rows: list[tuple[np.ndarray, np.ndarray]], n_
     """
     width = min(rank, n_terms)
     v = np.linalg.qr(np.random.default_rng(7).standard_normal((n_terms, width)))[0].astype(np.float32)
-    kind = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("terms", T.BinaryType()), T.StructField("values", T.BinaryType())])
-    table = spark.createDataFrame([(k % parts, bytearray(t.astype(np.int64).tobytes()), bytearray(x.astype(np.float32).tobytes())) for k, (t, x) in enumerate(rows)], kind).repartition(parts, "part")
+    columns = [pa.array(np.arange(len(rows), dtype=np.int32) % parts), pa.array([t.astype(np.int64).tobytes() for t, _ in rows], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in rows], pa.binary())]
+    table = spark.createDataFrame(pa.table(columns, ["part", "terms", "values"])).repartition(parts, "part")  # rows of Python objects would pass through workers of another daemon, which stay
     for _ in range(rounds):
 
         def multiply(batches: Iterator[pa.RecordBatch], v=v) -> Iterator[pa.RecordBatch]:

@@ -16,18 +16,21 @@ import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import by_slice, byte_values, flat, prefix, ragged, release, small_batches, spans_hash, stage
+from webloom.llm.common import by_slice, bytes_hash, flat, ragged, release, small_batches, stage
 
 SIZE = 2048
 SLICE = 2 << 20
 #: Segments that one call of the tokenizer gets as one text.
 JOINED = 2_000
+#: Texts that are encoded in one call, joined ones being a call each: what it returns takes some 100 bytes a token.
+BATCH = 2_000
 #: Distinct text segments whose ids a worker keeps from slice to slice.
 CACHE = 600_000
 
@@ -76,17 +79,20 @@ class Encoder:
 
     def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has: each encoded by itself."""
-        found = [x.ids for lo in range(0, len(texts), 5_000) for x in self.tokenizer.encode_batch_fast(texts[lo : lo + 5_000], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(texts), BATCH):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts[lo : lo + BATCH], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def _together(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The same, many as one text, where a token ends between any two of them."""
-        groups = [texts[lo : lo + JOINED] for lo in range(0, len(texts), JOINED)]
         ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        joined = [b"".join(g).decode("utf-8", "replace") for g in groups]
-        for group, text, found in zip(groups, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            own = np.array(found.ids, np.uint32)
+        for lo in range(0, len(texts), JOINED):
+            group = texts[lo : lo + JOINED]
+            text = b"".join(group).decode("utf-8", "replace")
+            own = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum(self.n_bytes[own])
             want = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))
             at = np.minimum(np.searchsorted(ends, want), max(0, len(ends) - 1))
@@ -115,8 +121,7 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         ends = np.append(starts[1:], len(data))
-        hashes = spans_hash(prefix(byte_values(data)), starts, ends)
-        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        keys, first, back = np.unique(bytes_hash(data, starts, ends), return_index=True, return_inverse=True)
         pos = np.searchsorted(self.keys, keys)
         new = (pos == len(self.keys)) | (self.keys[np.minimum(pos, len(self.keys) - 1)] != keys) if len(self.keys) else np.ones(len(keys), bool)
         if new.any():
