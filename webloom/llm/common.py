@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.session import kept as stage
-from webloom.session import shared_dir
+from webloom.session import shared_dir, small_batches
 
 __all__ = ["SPACES", "WORD", "by_slice", "byte_values", "bytes_hash", "flat", "mix", "owner_of", "partitions", "prefix", "ragged", "release", "shared_dir", "sized", "slices", "sliding", "small_batches", "spans_hash", "stage", "windows_hash", "word_hashes", "word_spans"]
 
@@ -26,17 +26,6 @@ def sized(small: DataFrame, rows: int, width: int, most: int = 24 << 20) -> Data
     return F.broadcast(small) if rows * width <= most else small
 
 
-#: Rows that Spark hands to a worker at a time, unless the session says otherwise: texts are long.
-BATCH_ROWS = 1_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a worker and Spark hold of a partition of texts at a time, where the session has no bound of its own."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, BATCH_ROWS)
-
-
 def release() -> None:
     """Gives freed memory back to the system where the allocator can, since workers live on between tasks."""
     _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import html
-from webloom.session import kept
+from webloom.session import kept, small_batches
 
 #: How text was made comparable; another value starts a new baseline (fixed value).
 NORMALIZATION = "visible-text-v1"
@@ -31,9 +31,10 @@ def states(rows: DataFrame) -> DataFrame:
 
     The last good row of an id is compared, whatever its url; another url or normalization makes a new baseline.  Error
     rows leave the last good one as it is.  Rows are dealt by ranges of (id, run), so that no id's whole history is one
-    task's; the last good row of each range is carried to the next ones of its id.
+    task's; the last good row of each range is carried to the next ones of its id.  They are written before, since
+    ranges are found by reading all columns of `rows` once more; texts are better joined to what comes out.
     """
-    ranged = kept(rows.repartitionByRange("id", "run").withColumn("__range", F.spark_partition_id()), "observed")
+    ranged = kept(kept(rows, "looks").repartitionByRange("id", "run").withColumn("__range", F.spark_partition_id()), "observed")
     good = F.when(F.col("error").isNull(), F.struct("run", "sha256", "url", "normalization"))
     ends = ranged.groupBy("id", "__range").agg(F.max(good).alias("end"))
     ranges = Window.partitionBy("id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,14 +71,18 @@ def with_evidence(rows: DataFrame, known: DataFrame) -> DataFrame:
 
     Only changed rows meet the contents and the UDF; the others go round it.
     """
-    changed = rows.where("state = 'changed'")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("added", "string"), ("removed", "string"), ("truncated", "boolean"))]
+    return rows.where("state <> 'changed'").select("*", *none).unionByName(changed_evidence(rows.where("state = 'changed'"), known))
+
+
+def changed_evidence(changed: DataFrame, known: DataFrame) -> DataFrame:
+    """`with_evidence` of rows that are all changed."""
+    small_batches(changed.sparkSession)
     old = known.select(F.col("sha256").alias("previous_sha256"), F.col("text").alias("old_text"))
     met = changed.join(old, "previous_sha256", "left")
     gone = F.col("old_text").isNull()
     met = met.withColumn("state", F.when(gone, "error").otherwise(F.col("state"))).withColumn("error", F.when(gone, "the last good text is missing").otherwise(F.col("error")))
-    met = met.withColumn("e", html.evidence("old_text", "text")).select("*", F.when(~gone, F.col("e.added")).alias("added"), F.when(~gone, F.col("e.removed")).alias("removed"), F.when(~gone, F.col("e.truncated")).alias("truncated")).drop("e", "old_text")
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("added", "string"), ("removed", "string"), ("truncated", "boolean"))]
-    return rows.where("state <> 'changed'").select("*", *none).unionByName(met)
+    return met.withColumn("e", html.evidence("old_text", "text")).select("*", F.when(~gone, F.col("e.added")).alias("added"), F.when(~gone, F.col("e.removed")).alias("removed"), F.when(~gone, F.col("e.truncated")).alias("truncated")).drop("e", "old_text")
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from webloom.functions import html, urls
 from webloom.operators import health, inventory, links, monitor, policy, traverse
 from webloom.options import Options
-from webloom.session import shared_dir
+from webloom.session import kept, shared_dir
 from webloom.sources import http, manifest, sitemap, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -237,8 +237,10 @@ def monitor_contents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def monitor_evidence(spark: SparkSession, d: str) -> DataFrame:
-    rows = observations(spark, d)
-    return monitor.with_evidence(monitor.states(rows), monitor.contents(rows)).where("state = 'changed'").select("id", "run", "added", "removed", "truncated")
+    rows = kept(observations(spark, d), "observations")
+    known = monitor.contents(rows)
+    changed = monitor.states(rows.drop("text")).where("state = 'changed'").join(known, "sha256", "left")
+    return monitor.changed_evidence(changed, known).where("state = 'changed'").select("id", "run", "added", "removed", "truncated")
 
 
 # --- sources and state ---
